@@ -12,13 +12,14 @@ columns are never read. Order is that of the input files.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +28,16 @@ from .common import materialise, slices
 
 WINDOW, END_ID = 2048, 1
 
-#: A worker forgets its known words beyond this many; it is a memory bound, results don't depend on it.
+#: A worker keeps the words of its last two generations of so many; a memory bound, results don't depend on it.
 KNOWN_WORDS = 400_000
 
-#: Outside of these characters the regular-expression libraries may know other Unicode versions, so such texts
-#: go to the tokenizer whole; so do texts with control characters that count as space in one library only.
-_odd = regex.compile(r"[^\x00-\x1b\x20-\x84\x86-ɏΑ-Ρα-ωА-я–-…€]")
+#: Characters on which this module's pattern surely agrees with the tokenizer's; other texts go to it whole.
+_odd = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\u024fΑ-ΡΣ-Ωα-ωА-я–-…€]").search
 _CONTROLS = "\x1c\x1d\x1e\x1f"
+_LETTERS = r"A-Za-zªµºÀ-ÖØ-öø-\u024fΑ-ΡΣ-Ωα-ωА-я"
+_DIGITS = "0-9²³¹¼½¾"
+#: The byte-level tokenizer's pattern over these characters; alternatives that can't start alike change places.
+_split = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+").findall
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -45,35 +49,54 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        odd = any(c in text for c in _CONTROLS) if text.isascii() else _odd.search(text)
-        if odd or any(s in text for s in self.special):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = self.split(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+        self.older: dict[str, bytes] = {}
+        (self.newline,) = self.whole("\n")
+
+    def whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned numbers of `dtype`."""
+        words: list[list[str] | None] = []
+        for text in texts:
+            odd = any(c in text for c in _CONTROLS) if text.isascii() else _odd(text)
+            words.append(None if odd or any(s in text for s in self.special) else _split(text))
+        self.learn(set().union(*filter(None, words)))
+        find = self.known.__getitem__
+        return [np.array(self.whole(t), self.dtype).tobytes() if ws is None else b"".join(map(find, ws)) for t, ws in zip(texts, words)]
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that aren't known."""
+        if len(self.known) > KNOWN_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for w in words - known.keys():
+            if w in older:
+                known[w] = older[w]
+            elif w.isspace():
+                known[w] = np.array(self.whole(w), self.dtype).tobytes()
+            else:
+                new.append(w)
+        # a newline between words is a pre-token of its own, and no other word has its id
+        runs = [new[i : i + 500] for i in range(0, len(new), 500)]
+        width = np.dtype(self.dtype).itemsize
+        for run, found in zip(runs, self.tok.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(run, [*(width * np.flatnonzero(ids == self.newline)).tolist(), len(raw)], strict=True):
+                known[w] = raw[start:end]
+                start = end + width
 
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder, kept from task to task."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
@@ -85,15 +108,12 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, place = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], "<u4").tobytes()
-        narrow = encode.tok.get_vocab_size() <= 1 << 16
+        end, width = np.array([END_ID], encode.dtype).tobytes(), np.dtype(encode.dtype).itemsize
         for batch in slices(batches, limit=4 << 20):
-            ids = [encode(t or "") + end for t in batch.column("text").to_pylist()]
-            n = [len(x) // 4 for x in ids]
+            ids = [x + end for x in encode([t or "" for t in batch.column("text").to_pylist()])]
+            n = [len(x) // width for x in ids]
             places = list(accumulate(n, initial=place))
             place = places.pop()
-            if narrow:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(places, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "part", "place", "n_ids", "ids"],
@@ -102,42 +122,39 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, part int, place long, n_ids long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, checksum: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (u4 little-endian), doc_tokens, sequence_id, offset, sequence_tokens.
 
-    Sequences are gapless; only the last is shorter than the window and would be padded.
+    Sequences are gapless; only the last is shorter than the window and would be padded. With `checksum` the ids stay
+    behind and ids_crc32 takes their place.
     """
     tokens = materialise(tokenise(docs, tokenizer), "tokens")
     totals = dict(tokens.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # one number a partition
     parts = sorted(totals)
     bases = dict(zip(parts, accumulate((totals[p] for p in parts), initial=0)))
     total = sum(totals.values())
+    content, kind, sql = ("ids_crc32", pa.int64(), "long") if checksum else ("ids", pa.binary(), "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
-        for batch in slices(batches, "ids", 8 << 20):
-            out: list[list] = [[] for _ in names]
+        names = ["doc_id", "start", "length", content, "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), kind, *[pa.int64()] * 4]
+        give = zlib.crc32 if checksum else bytes
+        for batch in slices(batches, "ids", 4 << 20):
+            out = []
             for doc_id, part, place, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4", copy=False)
+                ids = memoryview(raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
                 at, start = bases[part] + place, 0
                 while start < n:
                     sequence, offset = divmod(at + start, window)
                     length = min(window - offset, n - start)
-                    row = (doc_id, start, length, ids[start : start + length].tobytes(), n, sequence, offset, min(window, total - sequence * window))
-                    for column, value in zip(out, row):
-                        column.append(value)
+                    out.append((doc_id, start, length, give(ids[4 * start : 4 * (start + length)]), n, sequence, offset, min(window, total - sequence * window)))
                     start += length
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-
-    return tokens.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long")
-
+            columns = zip(*out) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """pack()'s rows with the CRC-32 of the ids instead of the ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return tokens.mapInArrow(run, f"doc_id long, start long, length long, {content} {sql}, doc_tokens long, sequence_id long, offset long, sequence_tokens long")
 
 
 def crc_of(ids: list[int]) -> int:
-    """What digest() gives for these ids; for tests."""
+    """What pack(checksum=True) gives for these ids."""
     return zlib.crc32(np.array(ids, "<u4").tobytes())
