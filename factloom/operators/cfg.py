@@ -1,0 +1,148 @@
+"""Control-flow graphs of functions (G-08, G-13, W-02 to W-04): one function at a time, in the Python workers.
+
+Nodes: entry, exit, statement, branch, loop, try, handler, finally, return, throw. Edges: next, true, false, loop (the
+way back), break, continue, return, throw, finally. A `finally` stands between a leaving statement and its target.
+"""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from .extract import fact_id
+
+EDGES = "file_id string, flow_id string, owner string, source string, source_kind string, target string, target_kind string, kind string, line int"
+
+
+class Flow:
+    """The graph of one function body."""
+
+    def __init__(self, body: list[ast.stmt]) -> None:
+        self.nodes: list[tuple[str, int]] = [("entry", 0), ("exit", 0)]
+        self.edges: list[tuple[int, int, str]] = []
+        self.loops: list[tuple[int, list[tuple[int, str]]]] = []  # head, ways out
+        self.catches: list[int] = []
+        self.finals: list[list[ast.stmt]] = []
+        for end in self.block(body, [(0, "next")]):
+            self.link(end, 1)
+
+    def node(self, kind: str, line: int) -> int:
+        self.nodes.append((kind, line))
+        return len(self.nodes) - 1
+
+    def link(self, end: tuple[int, str], to: int, kind: str | None = None) -> None:
+        edge = (end[0], to, kind or end[1])
+        if edge not in self.edges:
+            self.edges.append(edge)
+
+    def block(self, body: list[ast.stmt], ends: list[tuple[int, str]]) -> list[tuple[int, str]]:
+        """Ways out of a sequence of statements, given the ways in; what nothing leads to is left out."""
+        for s in body:
+            if not ends:
+                break
+            ends = self.statement(s, ends)
+        return ends
+
+    def leave(self, at: int, to: int, kind: str) -> None:
+        """An edge out of all open `finally` parts."""
+        ends = [(at, kind)]
+        for body in reversed(self.finals):
+            f = self.node("finally", body[0].lineno)
+            for e in ends:
+                self.link(e, f, "finally")
+            saved, self.finals = self.finals, []
+            ends = self.block(body, [(f, "next")])
+            self.finals = saved
+        for e in ends:
+            self.link(e, to, kind)
+
+    def statement(self, s: ast.stmt, ends: list[tuple[int, str]]) -> list[tuple[int, str]]:
+        kind = {ast.If: "branch", ast.Match: "branch", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.Try: "try", ast.Return: "return", ast.Raise: "throw"}.get(type(s), "statement")
+        at = self.node(kind, s.lineno)
+        for e in ends:
+            self.link(e, at)
+        if isinstance(s, ast.If):
+            return self.block(s.body, [(at, "true")]) + self.block(s.orelse, [(at, "false")])
+        if isinstance(s, ast.Match):
+            out = [e for c in s.cases for e in self.block(c.body, [(at, "true")])]
+            total = any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None and c.guard is None for c in s.cases)
+            return out if total else [*out, (at, "false")]
+        if isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
+            self.loops.append((at, []))
+            for e in self.block(s.body, [(at, "true")]):
+                self.link(e, at, "loop")
+            _, breaks = self.loops.pop()
+            endless = isinstance(s, ast.While) and isinstance(s.test, ast.Constant) and bool(s.test.value)
+            return ([] if endless else self.block(s.orelse, [(at, "false")])) + breaks
+        if isinstance(s, (ast.Try, ast.TryStar)):
+            handlers = [self.node("handler", h.lineno) for h in s.handlers]
+            if s.finalbody:
+                self.finals.append(s.finalbody)
+            self.catches += handlers[:1]
+            for h in handlers:
+                self.link((at, "throw"), h)
+            ends = self.block(s.orelse, self.block(s.body, [(at, "next")]))
+            if handlers:
+                self.catches.pop()
+            for h, part in zip(handlers, s.handlers):
+                ends = ends + self.block(part.body, [(h, "next")])
+            if s.finalbody:
+                self.finals.pop()
+                f = self.node("finally", s.finalbody[0].lineno)
+                for e in ends:
+                    self.link(e, f, "finally")
+                ends = self.block(s.finalbody, [(f, "next")]) if ends else []
+            return ends
+        if isinstance(s, (ast.With, ast.AsyncWith)):
+            return self.block(s.body, [(at, "next")])
+        if isinstance(s, ast.Return):
+            self.leave(at, 1, "return")
+            return []
+        if isinstance(s, ast.Raise):
+            if self.catches:
+                self.link((at, "throw"), self.catches[-1])
+            else:
+                self.leave(at, 1, "throw")
+            return []
+        if isinstance(s, ast.Break) and self.loops:
+            self.loops[-1][1].append((at, "break"))
+            return []
+        if isinstance(s, ast.Continue) and self.loops:
+            self.link((at, "continue"), self.loops[-1][0])
+            return []
+        return [(at, "next")]
+
+
+def flows_of(file_id: str, text: str | None) -> list[tuple]:
+    """Edges of the graphs of all functions of a Python text; a text that doesn't parse has none."""
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+
+    def walk(node: ast.AST, names: tuple[str, ...]) -> None:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                owner = "::".join((*names, child.name))
+                flow, id_ = Flow(child.body), fact_id(file_id, "flow", owner, child.lineno)
+                name = lambda i: f"{id_}:{i}"  # noqa: B023, E731
+                out.extend((file_id, id_, owner, name(a), flow.nodes[a][0], name(b), flow.nodes[b][0], kind, flow.nodes[a][1]) for a, b, kind in flow.edges)
+            walk(child, (*names, child.name) if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else names)
+
+    walk(tree, ())
+    return out
+
+
+def flow_edges(files: DataFrame) -> DataFrame:
+    """Edges of the control-flow graphs of files (file_id, text); row-local, no shuffle."""
+    names = [c.split()[0] for c in EDGES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([r for f, t in zip(pdf["file_id"], pdf["text"]) for r in flows_of(f, t)], columns=names)
+
+    return files.select("file_id", "text").mapInPandas(run, EDGES)

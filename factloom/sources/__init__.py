@@ -1,0 +1 @@
+"""Sources and sinks: source trees, bundles, configuration, labels."""
