@@ -17,7 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Byte table that lower-cases A-Z only; every other byte, so also all of UTF-8's, stays.
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
-_written: list[tuple[SparkSession, str]] = []
+#: Paths of the written tables, by the identity of the DataFrame that reads them.
+_written: dict[int, tuple[DataFrame, str]] = {}
 
 
 def ascii_lower(text: Column) -> Column:
@@ -40,28 +41,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     It cuts the lineage, fixes what depends on task order (running ids) and survives lost executors: a
-    committed file comes from exactly one attempt of its task. Files go when the driver ends, or by sweep().
+    committed file comes from exactly one attempt of its task. Files go by release(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = out, path
+    return out
 
 
-def sweep() -> None:
-    """Delete every table that materialise() wrote; results that still read them are void afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended before the interpreter
-            return
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialise() returned and that nothing reads any more."""
+    for df in tables:
+        _, path = _written.pop(id(df))
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-atexit.register(sweep)
+def _sweep() -> None:
+    try:
+        release(*[df for df, _ in _written.values()])
+    except Exception:  # the session has ended before the interpreter
+        _written.clear()
+
+
+atexit.register(_sweep)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

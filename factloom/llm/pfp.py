@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, texts_of
+from .common import materialise, release, slices, texts_of
 
 LENGTH, GRAM, SPAN, BLOCK = 400, 16, 256, 16
 CORE = LENGTH - SPAN + 1
@@ -159,9 +159,9 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """Sizes (doc_id, text_hash, n_bytes, sha: a row per document), whole runs (stretch keys per document), other
-    repeated strings (spans per document, absolute)."""
+    repeated strings (spans per document, absolute), and the tables that the last two read."""
     rows = _texts(docs)
     parsed = materialise(_parsed(rows), "parse")
     sizes = parsed.where("n_bytes is not null").select(*_ROW, "n_bytes", "sha")
@@ -170,7 +170,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     often = runs.groupBy("core").agg(F.sum("places").alias("n")).where("n > 1").select("core")
     known = materialise(runs.join(often, "core"), "repeated-cores")
     whole = known.groupBy("core", "stretch").agg(F.sum("places").alias("n"))
-    known = materialise(known.drop("places").join(whole, ["core", "stretch"]).select(*_ROW, "core", "stretch", (F.col("n") > 1).alias("whole")), "runs")
+    cores, known = known, materialise(known.drop("places").join(whole, ["core", "stretch"]).select(*_ROW, "core", "stretch", (F.col("n") > 1).alias("whole")), "runs")
+    release(cores)
     wholes = known.where("whole").groupBy(*_ROW).agg(F.collect_set("stretch").alias("wholes"))
 
     unclear = known.where("not whole").select("core").distinct()
@@ -188,11 +189,12 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.text_hash") == F.col("y.text_hash")) & (F.col("x.at") == F.col("y.at"))
     tail = contexts.alias("x").join(open_.alias("y"), same).select("x.*", "open")
     strings = materialise(tail.mapInArrow(_strings, "doc_id long, text_hash long, start long, asks boolean, string long"), "strings")
+    release(contexts, blocks)
     single = strings.where("asks").join(_repeated(strings, "string"), "string", "left_semi")
 
     spans = asked.where("all").select(*_ROW, "first", F.col("last").alias("final"))
     spans = spans.union(single.select(*_ROW, F.col("start").alias("first"), F.col("start").alias("final")))
-    return sizes, wholes, spans.groupBy(*_ROW).agg(F.collect_set(F.struct("first", "final")).alias("spans"))
+    return sizes, wholes, spans.groupBy(*_ROW).agg(F.collect_set(F.struct("first", "final")).alias("spans")), [known, asked, strings]
 
 
 def _kept(raw: bytes, wholes: list[int] | None, spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -216,10 +218,11 @@ def _kept(raw: bytes, wholes: list[int] | None, spans: list[dict] | None) -> tup
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (spans of bytes), kept_text (binary: a cut may part a character), kept_sha256, for the
     documents that lose bytes; and the same with null removed and kept_text for all others."""
-    sizes, wholes, spans = repeats(docs)
+    sizes, wholes, spans, used = repeats(docs)
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.text_hash") == F.col("y.text_hash"))
     lists = wholes.alias("x").join(spans.alias("y"), same, "full").select(F.coalesce("x.doc_id", "y.doc_id").alias("doc_id"), F.coalesce("x.text_hash", "y.text_hash").alias("text_hash"), "wholes", "spans")
     lists = materialise(lists, "lists")
+    release(*used)
     touched = _matched(_texts(docs), lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +233,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 cut.append([{"start": s, "end": e} for s, e in zip(starts, ends)])
                 left.append(b"".join(raw[e:s] for e, s in zip([0, *ends], [*starts, len(raw)])))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            n = pc_lengths(batch)
+            n = _lengths(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(cut, kind), pa.array(left, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in left])], names=["doc_id", "n_bytes", "removed", "kept_text", "kept_sha256"])
 
     schema = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept_text binary, kept_sha256 string"
@@ -240,7 +243,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     return changed.unionByName(rest)
 
 
-def pc_lengths(batch: pa.RecordBatch) -> pa.Array:
+def _lengths(batch: pa.RecordBatch) -> pa.Array:
     """Bytes of each text of a batch."""
     return pa.array([len(x) for x in texts_of(batch)], pa.int64())
 
