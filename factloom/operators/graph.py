@@ -6,21 +6,19 @@ cut every round by checkpoint(), in the folder of spark.checkpoint.dir, so lost
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and checkpointed."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if found is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="factloom-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -114,7 +112,7 @@ def canonical(pointers: DataFrame, node: str, target: str) -> DataFrame:
     return cur.join(best.select(F.col("n").alias("to"), "low"), "to").select(F.col("n").alias(node), F.col("low").alias("canonical"))
 
 
-def fixpoint_prefixes(mounts: DataFrame, child: str, parent: str, prefix: str, join: "callable", rounds: int = 8) -> DataFrame:
+def fixpoint_prefixes(mounts: DataFrame, child: str, parent: str, prefix: str, join: Callable[[Column, Column], Column], rounds: int = 8) -> DataFrame:
     """Full prefixes of nested mounts: each round adds the parent's prefixes; cycles end with the rounds (G-11)."""
     own = mounts.select(F.col(child).alias("c"), F.col(parent).alias("p"), F.col(prefix).alias("x"))
     done = own.where("p is null").select("c", "x")
