@@ -311,9 +311,31 @@ def brace_facts(facts: Facts, text: str) -> None:
         target = next((g for g in m.groups() if g), None)
         if target and (code[m.start() : m.end()].strip() or family == "go"):
             facts.add("reference", facts.root, "import", target, target, line(m.start()), line(m.start()), status="candidate")
+    if family == "ecma":
+        ecma_bindings(facts, text, line)
     for m in re.finditer(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`]*)`', text):
         sql_facts(facts, owner(m.start()), next(g for g in m.groups() if g is not None), line(m.start()))
-    line_facts(facts, text, owner_of=lambda n: owner(breaks[n - 2] + 1 if n > 1 else 0), lines_only=True)
+    named: dict[str, list[str]] = {}
+    for s in spans:
+        named.setdefault(s[3].rpartition("::")[2], []).append(s[4])
+    line_facts(facts, text, lambda n: owner(breaks[n - 2] + 1 if n > 1 else 0), named)
+
+
+_BOUND = re.compile(r"""^\s*import\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\*\s*as\s+([A-Za-z_$][\w$]*)\s*|\{([^}]*)\}\s*)?from\s*['"]([^'"]+)['"]""", re.M)
+
+
+def ecma_bindings(facts: Facts, text: str, line: Callable[[int], int]) -> None:
+    """Local names of default, namespace and named imports (U-16)."""
+    for m in _BOUND.finditer(text):
+        default, space, names, module = m.groups()
+        at = line(m.start())
+        if default:
+            facts.add("binding", facts.root, "import", default, f"{module}.default", at, at)
+        if space:
+            facts.add("binding", facts.root, "import", space, module, at, at)
+        for part in filter(None, (n.strip() for n in (names or "").split(","))):
+            name, _, local = part.partition(" as ")
+            facts.add("binding", facts.root, "import", (local or name).strip(), f"{module}.{name.strip()}", at, at)
 
 
 _ROUTE = re.compile(r"""(?i)\b(?:app|router|server|r|e|api)\s*\.\s*(?:map)?(get|post|put|patch|delete|options|head)\s*\(\s*["']([^"']+)""")
@@ -321,8 +343,15 @@ _HANDLE = re.compile(r"""(?i)(?:handlefunc|handle|route)\s*\(\s*["']([^"']+)""")
 _MAPPING = re.compile(r"""(?i)@(?:(get|post|put|patch|delete|head)mapping|requestmapping)\s*\(\s*(?:(?:value|path|url|route)\s*=\s*)?["']([^"']+)""")
 
 
-def line_facts(facts: Facts, text: str, owner_of: Callable[[int], str] | None = None, lines_only: bool = False) -> None:
-    """Routes that single lines declare, by the first rule that fits (U-11, U-12)."""
+_HANDLER = re.compile(r",\s*([A-Za-z_$][\w$]*)\s*\)\s*;?\s*$")
+
+
+def line_facts(facts: Facts, text: str, owner_of: Callable[[int], str] | None = None, units: dict[str, list[str]] | None = None) -> None:
+    """Routes that single lines declare, by the first rule that fits (U-11, U-12).
+
+    A route belongs to the handler that its line names, if just one unit of the file has that name (J-19), else to the
+    unit around the line.
+    """
     for n, content in enumerate(text.split("\n"), 1):
         if content.lstrip().startswith(("//", "#", "*", "/*")):
             continue
@@ -332,7 +361,10 @@ def line_facts(facts: Facts, text: str, owner_of: Callable[[int], str] | None =
             method, path = "HTTP", m[1]
         else:
             continue
-        facts.add("entrypoint", owner_of(n) if owner_of else facts.root, "http", path, None, n, n, method=method, path=path)
+        handler = _HANDLER.search(content)
+        own = (units or {}).get(handler[1], []) if handler else []
+        owner = own[0] if len(own) == 1 else owner_of(n) if owner_of else facts.root
+        facts.add("entrypoint", owner, "http", path, None, n, n, method=method, path=path)
 
 
 #: Analyzers by language; more can be registered before extract() is called.

@@ -61,7 +61,7 @@ def resolve(references: DataFrame, units: DataFrame, bindings: DataFrame) -> Dat
     owner = units.select(F.col("id").alias("source_id"), F.col("parent_id").alias("class_id"))
     refs = refs.join(owner, "source_id", "left")
     full = F.when(F.col("bound").isNull(), F.col("target_name")).otherwise(F.concat("bound", F.expr("substring(target_name, length(head) + 1)")))
-    dotted = F.regexp_replace(F.regexp_replace(full, r"^\.+", ""), r"(\.|/|->)+", "::")
+    dotted = F.regexp_replace(F.regexp_replace(full, r"^[./]+", ""), r"(\.|/|->)+", "::")
     importing = F.col("kind") == "import"
     key = lambda *cols: F.concat_ws("\0", *cols)
     members = named.where("kind != 'file'")
