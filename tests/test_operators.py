@@ -150,7 +150,7 @@ def test_cap_buckets_keeps_all(sizes, most):
 def test_agglomerate():
     s = np.array([[0, 0.9, 0.1], [0.9, 0, 0.2], [0.1, 0.2, 0]])
     no, yes = np.zeros((3, 3), bool), np.ones((3, 3), bool)
-    assert gates.agglomerate(["a", "b", "c"], s, no, yes, 0.5, 9)[0] == [["a"], ["b"], ["c"]]
+    assert gates.agglomerate(["a", "b", "c"], s, no, yes, 0.5, 9)[0] == [["a", "b"], ["c"]]
     assert gates.agglomerate(["a", "b", "c"], s, no, yes, 0.5, 1)[0] == [["a", "b", "c"]]
     ban = no.copy()
     ban[0, 1] = ban[1, 0] = True
