@@ -41,6 +41,10 @@ def fact_id(*parts: object) -> str:
     return "f_" + hashlib.sha256("\0".join(map(str, parts)).encode()).hexdigest()[:24]
 
 
+#: Stands between the arguments of a call in its `arguments`.
+ARGUMENT = "\x1f"
+
+
 class Facts:
     """The fact rows of one file."""
 
@@ -102,6 +106,7 @@ class _Python(ast.NodeVisitor):
 
     def __init__(self, facts: Facts) -> None:
         self.facts, self.owner, self.names, self.classes = facts, facts.root, [facts.module], [False]
+        self.assigned: dict[int, str] = {}  # names that calls are assigned to, by node
 
     def _unit(self, node: ast.AST, kind: str, name: str, **attrs: object) -> None:
         full = "::".join([*self.names, name])
@@ -110,7 +115,7 @@ class _Python(ast.NodeVisitor):
             call = d if isinstance(d, ast.Call) else None
             label = ast.unparse(call.func if call else d)
             args = [ast.unparse(a) for a in call.args] if call else []
-            self.facts.add("decorator", id_, "decorator", label, None, d.lineno, d.end_lineno or d.lineno, arguments=", ".join(args), receiver=label.rpartition(".")[0] or None)
+            self.facts.add("decorator", id_, "decorator", label, None, d.lineno, d.end_lineno or d.lineno, arguments=ARGUMENT.join(args), receiver=label.rpartition(".")[0] or None)
             verb = label.rpartition(".")[2].lower()
             if call and (verb in HTTP_VERBS or verb in ("route", "websocket")) and call.args and isinstance(call.args[0], ast.Constant):
                 methods = next((ast.literal_eval(k.value) for k in call.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple))), [verb.upper() if verb in HTTP_VERBS else None])
@@ -157,15 +162,17 @@ class _Python(ast.NodeVisitor):
             callee = "[dynamic]"
         callee = callee if re.fullmatch(r"[\w.]+", callee) else "[dynamic]" + ("." + node.func.attr if isinstance(node.func, ast.Attribute) else "")
         status = "dynamic" if "[" in callee or callee.rpartition(".")[2] in DYNAMIC else "candidate" if "." in callee else "confirmed"
-        args = ", ".join(ast.unparse(a) for a in node.args)[:512]
+        args = ARGUMENT.join([*(ast.unparse(a) for a in node.args), *(f"{k.arg}={ast.unparse(k.value)}" for k in node.keywords if k.arg)])[:512]
         self.facts.add("reference", self.owner, "call", callee, callee, node.lineno, node.end_lineno or node.lineno, status=status)
-        self.facts.add("call", self.owner, "call", callee, None, node.lineno, node.end_lineno or node.lineno, arguments=args, receiver=callee.rpartition(".")[0] or None)
+        self.facts.add("call", self.owner, "call", callee, None, node.lineno, node.end_lineno or node.lineno, arguments=args, receiver=callee.rpartition(".")[0] or None, assigned=self.assigned.pop(id(node), None))
         self.generic_visit(node)
 
     def visit_Assign(self, node: ast.Assign) -> None:
         if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, (ast.Call, ast.Name, ast.Attribute)):
             value = node.value.func if isinstance(node.value, ast.Call) else node.value
             text = ast.unparse(value)
+            if isinstance(node.value, ast.Call):
+                self.assigned[id(node.value)] = node.targets[0].id
             if re.fullmatch(r"[\w.]+", text):
                 self.facts.add("binding", self.owner, "constructor" if isinstance(node.value, ast.Call) else "alias", node.targets[0].id, text, node.lineno, node.lineno)
         self.generic_visit(node)
@@ -230,7 +237,7 @@ _FUNCTIONS = {
     "go": re.compile(r"\bfunc\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\([^{};]*\{"),
     "rust": re.compile(r"\bfn\s+([A-Za-z_]\w*)[^{;]*\{"),
     "ecma": re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\([^{}]*\)[^{};=]*\{|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)\s*(?::[^={}]+)?=>\s*\{|(?<![.\w])(?:async\s+|static\s+|public\s+|private\s+)*([A-Za-z_$][\w$]*)\s*\([^(){};]*\)\s*(?::[^{};=]+)?\{"),
-    "c": re.compile(r"(?<![.\w])(?:[\w:<>,*&\[\]?~]+\s+)+[*&]*([A-Za-z_~]\w*(?:::\w+)?)\s*\([^(){};]*(?:\([^()]*\)[^(){};]*)*\)\s*(?:const|override|noexcept|async|throws\s+[\w, .]+)*\s*\{|(?<![.\w])([A-Z]\w*)\s*\([^(){};]*\)\s*\{"),
+    "c": re.compile(r"(?<![.\w@])(?=[A-Za-z_~])(?:[\w:<>,*&\[\]?~]+\s+)+[*&]*([A-Za-z_~]\w*(?:::\w+)?)\s*\([^(){};]*(?:\([^()]*\)[^(){};]*)*\)\s*(?:const|override|noexcept|async|throws\s+[\w, .]+)*\s*\{|(?<![.\w])([A-Z]\w*)\s*\([^(){};]*\)\s*\{"),
 }
 _FAMILY = {"javascript": "ecma", "typescript": "ecma", "java": "c", "csharp": "c", "c": "c", "cpp": "c", "dart": "c", "go": "go", "rust": "rust"}
 _WORDS = set("if for while switch catch return function sizeof typeof new delete throw else do case await super synchronized using lock match loop unsafe fn func defer go select foreach when async".split())
@@ -245,6 +252,34 @@ _IMPORT = {
 }
 
 
+_ANNOTATION = {
+    "csharp": re.compile(r"^\s*\[([A-Za-z_][\w.]*)\s*(?:\((.*?)\))?\]", re.M),
+    "rust": re.compile(r"#\[([A-Za-z_][\w:]*)\s*(?:\((.*?)\))?\]"),
+    "other": re.compile(r"(?<![\w.])@([A-Za-z_][\w.]*)\s*(?:\(((?:[^()]|\([^()]*\))*)\))?"),
+}
+
+
+def _assigned(code: str, at: int) -> str | None:
+    """The name that the expression at `at` is assigned to, if it is on the same line."""
+    m = re.search(r"([A-Za-z_$][\w$]*)\s*(?::=|=)\s*(?:await\s+|new\s+)?$", code[max(0, code.rfind("\n", 0, at) + 1) : at])
+    return m[1] if m else None
+
+
+def annotation_facts(facts: Facts, text: str, code: str, spans: list[tuple], line: Callable[[int], int]) -> None:
+    """Annotations, attributes and decorators with their arguments; each belongs to the next unit, else to the one
+    around it (U-12, J-07)."""
+    language = facts.file[2]
+    starts = sorted(spans)
+    for m in _ANNOTATION.get(language, _ANNOTATION["other"]).finditer(text):
+        if not code[m.start(1) : m.end(1)].strip():
+            continue  # in a comment or string
+        after = next((s for s in starts if s[0] >= m.end()), None)
+        around = [s for s in starts if s[0] <= m.start() <= s[1]]
+        own = after if after and not any(s[1] < after[0] for s in around[-1:]) else around[-1] if around else after
+        name = m[1][: -len("Attribute")] if language == "csharp" and m[1].endswith("Attribute") else m[1]
+        facts.add("decorator", own[4] if own else facts.root, "decorator", name, None, line(m.start()), line(m.end()), arguments=ARGUMENT.join(split_arguments(m[2] or "")), receiver=name.rpartition(".")[0] or None)
+
+
 def _close(code: str, at: int) -> int:
     """Place of the brace that closes the one at `at`, or -1."""
     depth = 0
@@ -304,7 +339,7 @@ def brace_facts(facts: Facts, text: str) -> None:
             close += 1
         args = split_arguments(text[m.end() : close - 1][:512])
         facts.add("reference", owner(m.start()), "call", name, name, line(m.start()), line(close), status=status)
-        facts.add("call", owner(m.start()), "call", name, None, line(m.start()), line(close), arguments=", ".join(args), receiver=name[: -len(tail)].rstrip(".:->") or None)
+        facts.add("call", owner(m.start()), "call", name, None, line(m.start()), line(close), arguments=ARGUMENT.join(args), receiver=name[: -len(tail)].rstrip(".:->") or None, assigned=_assigned(code, m.start()))
     for m in _CONTROL.finditer(code):
         facts.add("control", owner(m.start()), _KIND.get(m[1], m[1]), m[1], None, line(m.start()), line(m.start()), post_test=m[1] == "do" or None)
     for m in _IMPORT[family].finditer(text):
@@ -313,6 +348,7 @@ def brace_facts(facts: Facts, text: str) -> None:
             facts.add("reference", facts.root, "import", target, target, line(m.start()), line(m.start()), status="candidate")
     if family == "ecma":
         ecma_bindings(facts, text, line)
+    annotation_facts(facts, text, code, spans, line)
     for m in re.finditer(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`]*)`', text):
         sql_facts(facts, owner(m.start()), next(g for g in m.groups() if g is not None), line(m.start()))
     named: dict[str, list[str]] = {}

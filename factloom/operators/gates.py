@@ -97,6 +97,7 @@ def cluster_partitions(pairs: DataFrame, items: DataFrame, by: str, threshold: f
         return pd.DataFrame([(key[0], v, g[0]) for g in groups for v in g], columns=[by, "item", "cluster"])
 
     schema = f"{by} {kind[by]}, item {kind['item']}, cluster {kind['item']}"
+    items, pairs = items.toDF(*items.columns), pairs.toDF(*pairs.columns)  # both may come from one table
     return items.groupBy(by).cogroup(pairs.groupBy(by)).applyInPandas(run, schema)
 
 

@@ -39,7 +39,7 @@ def split_facts(facts: DataFrame) -> dict[str, DataFrame]:
         "entrypoints": of("entrypoint").select("file_id", "path", "id", F.col("owner").alias("unit_id"), "kind", "name", attr("method"), F.col("attrs")["path"].alias("route"), F.col("attrs")["receiver"].alias("receiver"), *span),
         "resources": of("resource").select("file_id", "id", F.col("owner").alias("unit_id"), "kind", "name", attr("mode"), *span),
         "control_flow": of("control").select("file_id", "id", F.col("owner").alias("unit_id"), "kind", attr("condition"), *span),
-        "call_sites": of("call").select("file_id", "id", F.col("owner").alias("unit_id"), F.col("name").alias("callee"), attr("receiver"), attr("arguments"), *span),
+        "call_sites": of("call").select("file_id", "id", F.col("owner").alias("unit_id"), F.col("name").alias("callee"), attr("receiver"), attr("arguments"), attr("assigned"), *span),
         "decorators": of("decorator").select("file_id", "id", F.col("owner").alias("unit_id"), "name", attr("receiver"), attr("arguments"), *span),
         "bindings": of("binding").select("file_id", "id", F.col("owner").alias("scope_id"), "kind", F.col("name").alias("local_name"), F.col("target").alias("target_name"), *span),
         "diagnostics": of("diagnostic").select(F.col("kind").alias("severity"), F.col("name").alias("code"), F.col("target").alias("message"), "path"),

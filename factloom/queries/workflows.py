@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cfg, evaluate, extract, rules
-from ..plans.analyze import analyze
+from ..operators import cfg, evaluate, extract, frameworks
+from ..plans.analyze import analyze, split_facts
 from ..plans.lens import Lens, with_views
 from ..session import ship
 from ..streaming import incremental
@@ -69,14 +69,51 @@ def cfg_edges(lens: Lens) -> DataFrame:
     return cfg.flow_edges(_project(lens)).select("owner", "source_kind", "target_kind", "kind", "line")
 
 
-_MARKERS = [("python.fastapi", "python", r"^\s*(from|import)\s+fastapi"), ("javascript.express", "typescript", r"\brouter\.(get|post)\("), ("go.net_http", "go", r'"net/http"')]
+#: One file for each of several frameworks.
+SERVICES = [
+    ("s1", "cmd/main.go", 'package main\nimport "github.com/gin-gonic/gin"\nfunc list(c int) { x() }\nfunc main() {\n\tr := gin.Default()\n\tv1 := r.Group("/v1")\n\tv1.GET("/users/:id", list)\n}\n'),
+    ("s2", "web/app.js", "import express from 'express';\nfunction home(req, res) { res.send(1); }\nconst site = express();\nsite.get('/home', home);\n"),
+    ("s3", "api/app.py", "from django.urls import path\nfrom django.db import models\n\nclass OrderLine(models.Model):\n    pass\n\ndef show(request):\n    return OrderLine.objects.filter(id=1)\n\nurlpatterns = [path('orders/', show)]\n"),
+    ("s4", "src/Users.java", 'import org.springframework.web.bind.annotation.GetMapping;\n@RestController\n@RequestMapping("/users")\nclass Users {\n  @GetMapping("/{id}")\n  String read(String id) { return find(id); }\n}\n'),
+    ("s5", "src/ui.c", '#include <gtk/gtk.h>\nvoid on_click(void) { go(); }\nint main(void) { g_signal_connect(button, "clicked", G_CALLBACK(on_click), 0); return 0; }\n'),
+]
+
+
+def _services(lens: Lens) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    ship(lens.spark)
+    files = lens.spark.createDataFrame([(f, p, extract.language_of(p), t) for f, p, t in SERVICES], "file_id string, path string, language string, text string")
+    found = frameworks.detect(frameworks.code_lines(files))
+    return split_facts(extract.extract(files)), found, frameworks.applies(files, found)
+
+
+@query()
+def framework_detection(lens: Lens) -> DataFrame:
+    """X-01, A-34, S-08: frameworks by markers in code."""
+    _, found, _ = _services(lens)
+    return found.join(frameworks.confidence(found), "framework").select("framework", "file_id", "line", "confidence")
+
+
+@query()
+def framework_routes(lens: Lens) -> DataFrame:
+    """X-04 to X-07, X-18, J-19 to J-21: routes by calls and decorators."""
+    t, _, applied = _services(lens)
+    cols = ["file_id", "framework", "kind", "method", "path", "line"]
+    return frameworks.call_routes(t["call_sites"], t["bindings"], t["units"], applied).select(cols).unionByName(frameworks.decorator_routes(t["decorators"], t["units"], applied).select(cols))
+
+
+@query()
+def framework_callbacks(lens: Lens) -> DataFrame:
+    """X-08: functions registered as callbacks."""
+    t, _, applied = _services(lens)
+    return frameworks.callbacks(t["call_sites"], t["units"], applied).select("file_id", "framework", "name", "line")
 
 
 @query()
-def framework_rules(lens: Lens) -> DataFrame:
-    """X-01, A-34: frameworks by markers in code lines."""
-    files = _project(lens).withColumn("language", F.when(F.endswith("path", F.lit(".py")), "python").when(F.endswith("path", F.lit(".ts")), "typescript").otherwise("go"))
-    return rules.detect_markers(rules.lines_of(files, "text"), _MARKERS, "path").select("framework", "path", "line", "confidence")
+def framework_models(lens: Lens) -> DataFrame:
+    """X-19: model classes and the calls that touch them."""
+    t, _, applied = _services(lens)
+    models = frameworks.orm_tables(t["units"], applied)
+    return frameworks.orm_access(t["call_sites"], models).select("table", "mode")
 
 
 _GOLD = """, a AS (SELECT DISTINCT bucket AS domain, key FROM (SELECT page_id % 4 AS bucket, split_part(replace(replace(url, 'https://', ''), 'http://', ''), '/', 2) AS key FROM pages)),
