@@ -9,13 +9,14 @@ the parts' registers, so sketches merge; equal registers are the likelier the mo
 2. Runs of ROWS registers are band keys. Classes that meet under a key are candidates.
 3. In a key's group every member is compared with one pivot, another one for each band, never all with all.
 4. Candidates whose sizes or whose joint likelihood estimate can't reach the threshold go; the estimate's margin
-   is over six standard errors.
+   is five standard errors (a pair at the threshold falls below it with probability 3e-7).
 5. The rest is confirmed on full shingle sets, recomputed from the texts, in integers: 100 * common >= 85 * union.
 6. Confirmed links give components. Groups whose members are still in more than one component get their missing
-   comparisons: pairs of small groups at once, large groups in blocks of at most CELL members whose registers are
-   compared in memory, and only likely pairs leave a block. So no link is lost to the pivots, and no bucket is cut.
+   comparisons: pairs of small groups at once, large groups in cells of two blocks of members each, on full sets in
+   memory; a cell gives back only links that join components. So no link is lost to the pivots, and no bucket is cut.
 
-A pair at the threshold shares no band with probability (1 - 0.85**5)**26 = 2.4e-7; that is the method's only loss.
+A pair at the threshold shares no band with probability (1 - 0.85**5)**26 = 2.4e-7; these two are the method's only
+losses.
 
 Defined results: null text, empty text and a text of white space have the empty set, are linked with nothing and
 are their own component; fewer than five words make one shingle of the whole sequence; repeated rows are one
@@ -34,17 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, materialise, slices, texts_of
+from .common import FOLD, materialise, release, slices, texts_of
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
 M = BANDS * ROWS
 #: Base of the exponential spacing, rate of the exponential hashes, largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65534
-#: Groups up to this size get all their missing pairs at once; larger ones go to blocks of so many members.
-SMALL, CELL = 24, 256
-#: Candidates stay if the estimate reaches this: 0.85 less 6.4 standard errors at M registers.
-LEAST = 0.65
+#: Groups up to SMALL get all their missing pairs at once; larger ones go to blocks of so many members and bytes of sets,
+#: which are compared by so many hashes at a time.
+SMALL, CELL, CELL_BYTES, SLICE = 24, 256, 8 << 20, 4096
+#: Candidates stay if the estimate reaches this: 0.85 less five standard errors at M registers.
+LEAST = 0.69
 
 _SEED = np.random.default_rng(20260)
 _FACTORS = (_SEED.integers(1, 1 << 32, M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -181,7 +183,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Those pairs whose full sets share enough."""
-    for batch in batches:
+    for batch in slices(batches, "s_a", 4 << 20):
         keep = []
         for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist()):
             x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -194,13 +196,12 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold on full shingle sets, taken from the texts again."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", "doc_id", "twin").join(ends, "node")
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, own: the full shingle set of each wanted node, taken from its text again."""
+    own = nodes.select("node", "doc_id", "twin").join(wanted.select("node").distinct(), "node")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # a node's text: that of its doc_id; rows that share a doc_id are told apart by the set's identity below
-    rows = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id)).select("node", "twin", "text")
+    # a node's text is that of its doc_id; rows that share a doc_id are told apart by the set's identity below
+    rows = rows.join(own, rows.doc_id.eqNullSafe(own.doc_id)).select("node", "twin", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=8 << 20):
@@ -211,10 +212,17 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
                     out.append((node, own))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["node", "own"])
 
-    sets = materialise(rows.mapInArrow(run, "node long, own binary").dropDuplicates(["node"]), "sets")
+    return materialise(rows.mapInArrow(run, "node long, own binary").dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that reach the threshold on full shingle sets."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("own").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-    return materialise(both.mapInArrow(_common, "a long, b long"), "links")
+    out = materialise(both.mapInArrow(_common, "a long, b long"), "links")
+    release(sets)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -233,32 +241,73 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _in_cells(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs of different components in large groups: each block of members against each, in memory."""
-    size = rows.groupBy("key").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
-    cells = rows.join(size, "key").select("key", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.join(nodes.select("node", "n", "regs"), "node").select("key", "node", "root", "n", "regs", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+def linked_in_cell(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray, one: bool) -> list[tuple[int, int]]:
+    """Places of the pairs that join different roots, as few as connect all that belongs together.
+
+    All sets are compared at once: hashes that two or more members have become columns, and the products of slices of
+    the member-by-hash matrix add up to the sizes of all intersections. Unless `one`, only pairs across blocks count.
+    """
+    n = np.array([len(s) for s in sets])
+    member = np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    member, column = member[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(shared.sum()), SLICE):
+        lo, hi = np.searchsorted(column, [start, start + SLICE])
+        x = np.zeros((len(sets), SLICE), np.float32)
+        x[member[lo:hi], column[lo:hi] - start] = 1
+        common += x @ x.T
+    fits = 100 * common >= PERCENT * (n[:, None] + n[None, :] - common)
+    fits &= root[:, None] != root[None, :]
+    if not one:
+        fits &= block[:, None] != block[None, :]
+    parent = {r: r for r in root.tolist()}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    out = []
+    for i, j in np.argwhere(np.triu(fits, 1)).tolist():
+        a, b = find(int(root[i])), find(int(root[j]))
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def _in_cells(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of large groups: each block of members against each, on full sets.
+
+    A block has at most CELL members and about CELL_BYTES of sets, so a cell fits in memory whatever the group's size;
+    a cell gives back only the links that join components, fewer than it has members.
+    """
+    sets = _sets(rows, nodes, docs)
+    size = nodes.select("node", (8 * F.col("n")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("bytes") / CELL_BYTES)).cast("int")
+    size = rows.join(size, "node").groupBy("key").agg(blocks.alias("blocks"))
+    block = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    cells = rows.join(size, "key").select("key", "node", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.join(sets, "node").select("key", "node", "root", "own", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(pdf["regs"]), "<u2").reshape(-1, M)
-        node, root, n, own = (pdf[x].to_numpy() for x in ("node", "root", "n", "own"))
-        one = pdf["i"].iat[0] == pdf["j"].iat[0]
-        found: list[np.ndarray] = []
-        for k in range(len(node)):
-            if not one and own[k] != pdf["i"].iat[0]:
-                continue
-            fits = (root != root[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])) & ((node > node[k]) if one else (own != own[k]))
-            at = np.flatnonzero(fits)
-            at = at[(regs[at] == regs[k]).sum(1) >= 0.5 * M]
-            if len(at):
-                at = at[likely(regs[at], np.broadcast_to(regs[k], (len(at), M)), n[at], np.full(len(at), n[k])) >= LEAST]
-                found.append(np.stack([np.minimum(node[at], node[k]), np.maximum(node[at], node[k])], 1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        node, root, block = (pdf[x].to_numpy() for x in ("node", "root", "block"))
+        sets = [np.frombuffer(x, "<u8") for x in pdf["own"]]
+        found = linked_in_cell(sets, root, block, pdf["i"].iat[0] == pdf["j"].iat[0])
+        return pd.DataFrame({"a": [min(node[i], node[j]) for i, j in found], "b": [max(node[i], node[j]) for i, j in found]}, dtype="int64")
 
-    return cells.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    # cells are heavy for their bytes: deal them out over all partitions
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = materialise(cells.repartition(n, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct(), "cell-links")
+    release(sets)
+    return out
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -284,13 +333,13 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     few = more.where((F.col("size") <= SMALL) & ~F.col("pivot")).select("key", "node", "root")
     other = few.select("key", F.col("node").alias("node2"), F.col("root").alias("root2"))
     near = few.join(other, "key").where("node < node2 and root != root2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    large = _in_cells(more.where(F.col("size") > SMALL).select("key", "node", "root"), nodes).distinct()
-    fresh = _estimated(near, nodes).union(large).distinct().join(tried, ["a", "b"], "left_anti")
-    fresh = materialise(fresh, "candidates-2")
+    extra = _in_cells(more.where(F.col("size") > SMALL).select("key", "node", "root"), nodes, docs)
+    fresh = materialise(_estimated(near, nodes).join(tried, ["a", "b"], "left_anti"), "candidates-2")
     if not fresh.isEmpty():
-        extra = _confirmed(fresh, nodes, docs)
-        if not extra.isEmpty():
-            roots = components(links.union(extra))
+        extra = extra.union(_confirmed(fresh, nodes, docs))
+    if not extra.isEmpty():
+        roots = components(links.union(extra))
+    release(met, more)
     return own, nodes, roots
 
 
