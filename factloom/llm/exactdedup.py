@@ -84,6 +84,7 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     named = materialise(block_names(docs, block), "identities")
     size = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
+    size = materialise(size, "groups")  # as a table of its own, so that the join below can split a hot group
     rows = named.join(size, ["level", "name"])
     rows = rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("copy")).drop("copy")
