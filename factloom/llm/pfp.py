@@ -167,11 +167,12 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[Data
     sizes = parsed.where("n_bytes is not null").select(*_ROW, "n_bytes", "sha")
     runs = parsed.where("core is not null").select(*_ROW, "core", "stretch", "places")
 
-    often = runs.groupBy("core").agg(F.sum("places").alias("n")).where("n > 1").select("core")
-    known = materialise(runs.join(often, "core"), "repeated-cores")
-    whole = known.groupBy("core", "stretch").agg(F.sum("places").alias("n"))
-    cores, known = known, materialise(known.drop("places").join(whole, ["core", "stretch"]).select(*_ROW, "core", "stretch", (F.col("n") > 1).alias("whole")), "runs")
-    release(cores)
+    # tables of their own, so that the joins with them can split a core that very many texts hold
+    often = materialise(runs.groupBy("core").agg(F.sum("places").alias("n")).where("n > 1").select("core"), "cores")
+    found = materialise(runs.join(often, "core"), "repeated-cores")
+    whole = materialise(found.groupBy("core", "stretch").agg(F.sum("places").alias("n")), "stretches")
+    known = materialise(found.drop("places").join(whole, ["core", "stretch"]).select(*_ROW, "core", "stretch", (F.col("n") > 1).alias("whole")), "runs")
+    release(often, found, whole)
     wholes = known.where("whole").groupBy(*_ROW).agg(F.collect_set("stretch").alias("wholes"))
 
     unclear = known.where("not whole").select("core").distinct()
