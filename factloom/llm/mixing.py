@@ -2,9 +2,10 @@
 
 Documents fall into cells of source class x language class x topic. The tokens of the cells are raked: in turn,
 each marginal is scaled to its target shares, until all three hold (ITERATIONS rounds, fixed). The ratio of raked
-to own tokens is a cell's weight; divided by the largest weight it is the probability that a document of the cell
-is kept, so the expected tokens of the sample have the target marginals and no document is needed twice. A
-document is kept if a hash of its doc_id, spread over [0, 1), lies below its cell's probability.
+to own tokens is a cell's weight. Probabilities are weights times one scale, 1 at most, and the scale is such that
+the expected tokens are KEEP of all; a cell that would have to repeat documents is kept whole instead, and the
+scale makes up for it. A document is kept if a hash of its doc_id, spread over [0, 1), lies below its cell's
+probability.
 
 Only the table of cells reaches the driver: its size is bounded by the targets' entries, as every source or
 language that has no target of its own counts as `other`. A source that holds a third of all rows costs one
@@ -27,10 +28,13 @@ from pyspark.sql import functions as F
 OTHER = "other"
 ITERATIONS = 40
 
+#: Share of all tokens that the sample is to have.
+KEEP = 0.8
+
 #: Target shares of tokens. What has no entry counts as `other`.
-SOURCES = {"src0": 0.30, "src1": 0.04, "src2": 0.04, "src3": 0.04, "src4": 0.04, OTHER: 0.54}
-LANGS = {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.10, OTHER: 0.02}
-TOPICS = {"prose": 0.80, "table": 0.04, "legal": 0.06, "contact": 0.10}
+SOURCES = {"src0": 0.33, "src1": 0.035, "src2": 0.035, "src3": 0.035, "src4": 0.035, OTHER: 0.53}
+LANGS = {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.115, OTHER: 0.005}
+TOPICS = {"prose": 0.88, "table": 0.03, "legal": 0.04, "contact": 0.05}
 
 Targets = tuple[Mapping[str, float], Mapping[str, float], Mapping[str, float]]
 TARGETS: Targets = (SOURCES, LANGS, TOPICS)
@@ -70,6 +74,17 @@ def rake(cells: dict[tuple[str, str, str], float], targets: Targets = TARGETS, r
     return share
 
 
+def calibrate(cells: dict[tuple[str, str, str], float], weight: dict[tuple[str, str, str], float], keep: float = KEEP) -> float:
+    """The scale at which the expected tokens, each cell's probability being 1 at most, are `keep` of all."""
+    left, rest = keep * sum(cells.values()), sum(n * weight[k] for k, n in cells.items())
+    for k in sorted(cells, key=lambda k: (-weight[k], k)):
+        scale = left / rest if rest > 0 else 0.0
+        if scale * weight[k] <= 1:
+            return scale
+        left, rest = left - cells[k], rest - cells[k] * weight[k]
+    return 1 / min(w for w in weight.values() if w > 0)  # all cells whole
+
+
 def classed(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
     """doc_id, source_class, lang_class, topic, tokens of each document."""
     text = F.col("text").cast("string")
@@ -79,15 +94,15 @@ def classed(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
     )
 
 
-def probabilities(docs: DataFrame, targets: Targets = TARGETS) -> dict[tuple[str, str, str], tuple[float, float]]:
+def probabilities(docs: DataFrame, targets: Targets = TARGETS, keep: float = KEEP) -> dict[tuple[str, str, str], tuple[float, float]]:
     """Weight and probability of each cell that has documents."""
     cells = {(r[0], r[1], r[2]): float(r[3]) for r in classed(docs, targets).groupBy("source_class", "lang_class", "topic").agg(F.sum("tokens")).collect()}
     if not cells:
         return {}
     total, share = sum(cells.values()), rake(cells, targets)
     weight = {k: share[k] * total / v for k, v in cells.items()}
-    most = max(weight.values()) or 1.0
-    return {k: (round(w, 9), round(w / most, 9)) for k, w in weight.items()}
+    scale = calibrate(cells, weight, keep)
+    return {k: (round(w, 9), round(min(1.0, scale * w), 9)) for k, w in weight.items()}
 
 
 def _look_up(found: dict[tuple[str, str, str], tuple[float, float]], i: int, cell: Column) -> Column:
@@ -96,21 +111,21 @@ def _look_up(found: dict[tuple[str, str, str], tuple[float, float]], i: int, cel
     return F.create_map(*[F.lit(x) for k, v in sorted(found.items()) for x in ("/".join(k), v[i])])[cell]
 
 
-def weights(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
+def weights(docs: DataFrame, targets: Targets = TARGETS, keep: float = KEEP) -> DataFrame:
     """classed()'s rows with weight, probability and whether the document is kept."""
-    found, cell = probabilities(docs, targets), F.concat_ws("/", "source_class", "lang_class", "topic")
+    found, cell = probabilities(docs, targets, keep), F.concat_ws("/", "source_class", "lang_class", "topic")
     out = classed(docs, targets).withColumn("weight", _look_up(found, 0, cell)).withColumn("probability", _look_up(found, 1, cell))
     return out.withColumn("kept", spread(F.col("doc_id")) < F.col("probability"))
 
 
-def sample(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
+def sample(docs: DataFrame, targets: Targets = TARGETS, keep: float = KEEP) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    found, text = probabilities(docs, targets), F.col("text").cast("string")
+    found, text = probabilities(docs, targets, keep), F.col("text").cast("string")
     cell = F.concat_ws("/", _class(F.col("source"), targets[0]), _class(F.col("lang"), targets[1]), topic_of(text))
     return docs.where(spread(F.col("doc_id").cast("long")) < _look_up(found, 1, cell))
 
 
-def oracle_sql(targets: Targets = TARGETS, rounds: int = ITERATIONS) -> str:
+def oracle_sql(targets: Targets = TARGETS, rounds: int = ITERATIONS, keep: float = KEEP) -> str:
     """weights() over `documents` in DuckDB's SQL."""
     names = ("source_class", "lang_class", "topic")
     lists = [", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in t.items()) for t in targets]
@@ -134,7 +149,10 @@ def oracle_sql(targets: Targets = TARGETS, rounds: int = ITERATIONS) -> str:
             SELECT 0 AS n, source_class, lang_class, topic, own / sum(own) OVER () AS w FROM cells
             UNION ALL
             SELECT n + 1, source_class, lang_class, topic, w FROM ({step}) s),
-        raked AS (SELECT source_class, lang_class, topic, w * (SELECT sum(own) FROM cells) / own AS weight FROM fit JOIN cells USING (source_class, lang_class, topic) WHERE n = {rounds}),
-        prob AS (SELECT source_class, lang_class, topic, round(weight, 9) AS weight, round(weight / (SELECT max(weight) FROM raked), 9) AS probability FROM raked)
+        raked AS (SELECT source_class, lang_class, topic, w * (SELECT sum(own) FROM cells) / own AS weight, own FROM fit JOIN cells USING (source_class, lang_class, topic) WHERE n = {rounds}),
+        sums AS (SELECT *, {keep!r}::DOUBLE * (SELECT sum(own) FROM cells) - coalesce(sum(own) OVER (ORDER BY weight DESC, source_class, lang_class, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS still,
+            sum(own * weight) OVER (ORDER BY weight DESC, source_class, lang_class, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM raked),
+        scale AS (SELECT still / rest AS f FROM sums WHERE still / rest * weight <= 1 ORDER BY weight DESC, source_class, lang_class, topic LIMIT 1),
+        prob AS (SELECT source_class, lang_class, topic, round(weight, 9) AS weight, round(least(1, (SELECT f FROM scale) * weight), 9) AS probability FROM raked)
         SELECT doc_id, source_class, lang_class, topic, tokens, weight, probability, ({digits}) / {float(1 << 28)} < probability AS kept
         FROM d JOIN prob USING (source_class, lang_class, topic)"""
