@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ TEST_PREFIXES = ["test_", "test-"]
 TEST_SUFFIXES = ["_test.go", "_test.rs", ".test.js", ".spec.js", ".test.jsx", ".spec.jsx", ".test.ts", ".spec.ts", ".test.tsx", ".spec.tsx", "_test.py", "test.java", "tests.java"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value in the plan once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """A-Z to lower case; all other characters stay."""
     return F.translate(text, UPPER, LOWER)
@@ -46,13 +53,15 @@ def _instance(s: Column) -> Column:
 
 def drop_while(items: Column, leading: list[str]) -> Column:
     """The array from its first element that isn't in `leading`; empty if there is none."""
-    first = F.array_position(F.transform(items, lambda s: s.isin(leading)), F.lit(False)).cast("int")
-    return F.when(first > 0, F.slice(items, first, F.size(items))).otherwise(F.slice(items, 1, 0))
 
+    def cut(own: Column) -> Column:
+        first = F.array_position(F.transform(own, lambda s: s.isin(leading)), F.lit(False)).cast("int")
+        return F.when(first > 0, F.slice(own, first, F.size(own))).otherwise(F.slice(own, 1, 0))
 
-def url_path(raw: Column) -> Column:
-    """The path of a URL or route, without method, host, query and fragment; empty for other schemes."""
-    bare = strip(F.regexp_replace(strip(raw), rf"(?i)^({'|'.join(METHODS)}) \s*", ""))
+    return let(items, cut)
+
+
+def _path_of(bare: Column) -> Column:
     of_url = F.regexp_extract(bare, r"^https?://[^/?#]*(/[^?#]*)", 1)
     local = F.regexp_extract(bare, r"^([^?#]*)", 1)
     return (
@@ -62,21 +71,28 @@ def url_path(raw: Column) -> Column:
     )
 
 
+def url_path(raw: Column) -> Column:
+    """The path of a URL or route, without method, host, query and fragment; empty for other schemes."""
+    return let(strip(F.regexp_replace(strip(raw), rf"(?i)^({'|'.join(METHODS)}) \s*", "")), _path_of)
+
+
+def _marked(parts: Column) -> Column:
+    last = F.size(parts) - 1
+    return F.transform(parts, lambda s, i: F.when((i > 0) & (i < last) & (F.get(parts, i + 1) != PARAM) & _instance(s), F.lit(PARAM)).otherwise(s))
+
+
 def contract_segments(raw: Column) -> Column:
     """Segments of the normalised contract path; null if there are none (F-01 to F-03)."""
     path = F.regexp_replace(url_path(raw), r"[/\\]+", "/")
     parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _segment)
-    last = F.size(parts) - 1
-    marked = F.transform(parts, lambda s, i: F.when((i > 0) & (i < last) & (F.get(parts, i + 1) != PARAM) & _instance(s), F.lit(PARAM)).otherwise(s))
-    kept = drop_while(marked, [*PREFIXES, PARAM])
+    kept = let(drop_while(let(parts, _marked), [*PREFIXES, PARAM]), lambda k: F.when(F.size(k) > 0, k))
     given = strip(raw)
-    return F.when((given == "") | (fold(given) == "<dynamic>") | (F.size(kept) <= 0), F.lit(None)).otherwise(kept)
+    return F.when((given != "") & (fold(given) != "<dynamic>"), kept)
 
 
 def contract_path(raw: Column) -> Column:
     """Normalised contract path, null if nothing is left."""
-    parts = contract_segments(raw)
-    return F.when(parts.isNotNull(), F.concat(F.lit("/"), F.array_join(parts, "/")))
+    return F.concat(F.lit("/"), F.array_join(contract_segments(raw), "/"))
 
 
 def http_method(raw: Column) -> Column:
@@ -97,16 +113,15 @@ def capability_key(raw: Column) -> Column:
 
 def bucket_key(path: Column) -> Column:
     """At most two directories after those that packages skip, or `_unscoped` (F-07)."""
-    parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda s: s != "")
-    first = F.greatest(F.array_position(F.transform(parts, lambda s: s.isin(BUCKET_SKIP)), F.lit(False)).cast("int"), F.lit(1))
-    dirs = F.size(parts) - first
-    alone = F.get(parts, first - 1)
-    deep = F.array_join(F.slice(parts, first, F.least(F.greatest(dirs, F.lit(0)), F.lit(2))), "/")
-    return (
-        F.when(F.size(parts) == 0, F.lit("_unscoped"))
-        .when(dirs > 0, deep)
-        .otherwise(F.when(F.contains(alone, F.lit(".")), F.lit("_unscoped")).otherwise(alone))
-    )
+
+    def of(parts: Column) -> Column:
+        first = F.greatest(F.array_position(F.transform(parts, lambda s: s.isin(BUCKET_SKIP)), F.lit(False)).cast("int"), F.lit(1))
+        dirs = F.size(parts) - first
+        alone = F.get(parts, first - 1)
+        deep = F.array_join(F.slice(parts, first, F.least(F.greatest(dirs, F.lit(0)), F.lit(2))), "/")
+        return F.when(F.size(parts) == 0, F.lit("_unscoped")).when(dirs > 0, deep).when(F.contains(alone, F.lit(".")), F.lit("_unscoped")).otherwise(alone)
+
+    return let(F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda s: s != ""), of)
 
 
 def path_role(path: Column) -> Column:

@@ -95,7 +95,7 @@ def analyze(files: DataFrame) -> Tables:
     calls = refs.where("kind = 'call' and target_id is not null").select("source_id", "target_id").distinct()
     t.frames["calls"] = calls
     http = t.entrypoints.where(F.col("kind").isin("http", "webSocket", "rpc", "job"))
-    routed = http.select("id", "unit_id", "path", "method", "route", P.contract_identity(F.col("method"), F.col("route")).alias("contract"), P.capability_key(F.col("route")).alias("key"))
+    routed = X.cut(http.select("id", "unit_id", "path", "method", "route", P.contract_identity(F.col("method"), F.col("route")).alias("contract"), P.capability_key(F.col("route")).alias("key")))
     t.frames["contracts"] = routed
     t.frames["capabilities"] = A.capabilities(routed, "key", {"entrypoints": "id", "contracts": "contract", "units": "unit_id"})
     reached = X.reach(calls, "source_id", "target_id", starts=t.entrypoints.select(F.col("unit_id").alias("source_id")))
