@@ -171,3 +171,19 @@ def first_of_group(rows: DataFrame, by: list[str], order: list[Column]) -> DataF
     """One representative a group: the first in an order (W-01, W-07, W-11), without a sort of the group."""
     keys = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)])
     return rows.groupBy(*by).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in by]), keys).alias("__row")).select(*by, "__row.*")
+
+
+def domain_kind(key: Column, operational: Column, cross_cutting: list[str], library: Column) -> Column:
+    """crossCutting by key, by operational members or in a library; else business (P-12)."""
+    return F.when(key.isin(cross_cutting) | operational | library, "crossCutting").otherwise("business")
+
+
+def domain_role(kind: Column, tokens: Column, generic: list[str], supported: Column) -> Column:
+    """business, crossCutting, external, noise or unknown (P-13): a group of generic words without support is noise."""
+    noise = (F.size(tokens) > 0) & F.forall(tokens, lambda t: t.isin(generic)) & ~supported
+    return F.when(kind == "business", F.when(noise, "noise").otherwise("business")).when(kind.isin("crossCutting", "external"), kind).otherwise("unknown")
+
+
+def feature_status(status: Column, unresolved: Column, dynamic: Column) -> Column:
+    """A confirmed feature with unresolved or dynamic edges is a candidate; others stay (A-22)."""
+    return F.when((status == "confirmed") & ((unresolved > 0) | (dynamic > 0)), "candidate").otherwise(status)

@@ -296,3 +296,29 @@ def test_incremental_stream(spark, tmp_path):
     assert rows(incremental.misses(now, cached).select("file_id")) == [("2",)]
     assert incremental.refresh(now, cached, extract.extract).where("fact_kind = 'unit'").count() == 3
     assert rows(incremental.changes(now, now.where("file_id = '1'"), "file_id", "content_hash")) == [("2", "removed")]
+
+
+def test_layout(spark):
+    from factloom.operators import layout
+
+    assert layout.places([("e", "a"), ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a")]) == [("e", 0, 0), ("a", 1, 0), ("b", 2, 0), ("c", 2, 1), ("d", 3, 0)]
+    assert layout.places([]) == [] and len(layout.places([(str(i), str(i + 1)) for i in range(100)])) == 24
+    assert layout.places([("a", "b"), ("b", "a")]) == [("a", 0, 0), ("b", 1, 0)]
+    df = spark.createDataFrame([("f", "a", "b"), ("g", "x", "x")], "flow_id string, source string, target string")
+    assert rows(layout.layout(df)) == [("f", "a", 0, 0), ("f", "b", 1, 0), ("g", "x", 0, 0)]
+
+
+def test_kinds_and_profile(spark):
+    from factloom.operators import aggregates as A
+    from factloom.plans.profile import Profile
+
+    df = spark.createDataFrame([("logging", "business"), ("orders", "business"), ("x", "external"), ("y", "odd")], "k string, kind string")
+    assert [r[0] for r in df.select(A.domain_kind(F.col("k"), F.lit(False), ["logging"], F.lit(False))).collect()] == ["crossCutting", "business", "business", "business"]
+    assert [r[0] for r in df.select(A.domain_role(F.col("kind"), F.array("k"), ["logging"], F.lit(False))).collect()] == ["noise", "business", "external", "unknown"]
+    p = Profile()
+    with p.step("a"):
+        pass
+    with pytest.raises(ZeroDivisionError), p.step("b"):
+        1 / 0
+    assert [(r.step, r.status) for r in p.table(spark).collect()] == [("a", "ok"), ("b", "failed")]
+    assert p.percent(4) == 50
