@@ -82,12 +82,26 @@ def fill_rows(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
 
 
 def fill(rows: DataFrame, group: str, budget: int) -> DataFrame:
-    """fill_rows() for each group. Only rows that can matter reach a group's task: required ones, and of the others
-    those whose running size, best first, starts within the budget plus the largest size; later ones can still fit,
-    so all rows no larger than the budget go along, as id, size and priority alone."""
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    small = rows.where(F.col("required") | (F.col("size") <= budget))
-    return small.groupBy(group).applyInPandas(lambda pdf: fill_rows(pdf, budget), kinds)
+    """fill_rows() for each group, as a fold: rows come sorted within their group and stream through, batch by batch, so
+    a group of any size needs no more memory than a batch. Rows that could never fit don't travel."""
+    cols, kinds = rows.columns, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = object(), 0
+        for pdf in batches:
+            taken = []
+            for g, required, size in zip(pdf[group], pdf["required"], pdf["size"]):
+                if g != now:
+                    now, used = g, 0
+                fits = bool(required) or used + size <= budget
+                used += size if fits else 0
+                taken.append(fits)
+            yield pdf.loc[taken, cols]
+
+    rate = F.floor(F.col("priority") * 1_000_000 / F.greatest("size", F.lit(1)))
+    small = rows.where(F.col("required") | (F.col("size") <= budget)).withColumn("__rate", rate)
+    order = [F.col(group), F.col("required").desc(), F.col("__rate").desc(), F.col("priority").desc(), F.col("id")]
+    return small.repartition(group).sortWithinPartitions(*order).mapInPandas(run, kinds)
 
 
 def share_budget(rows: DataFrame, reserved: str, signal: str, budget: int) -> DataFrame:

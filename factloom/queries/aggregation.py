@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import aggregates as A
 from ..operators import gates as G
+from ..operators import joins as J
 from ..plans.lens import Lens, with_views
 from .registry import query
 from .scalar import _KEY, bucket_sql, contract_ctes
@@ -132,15 +133,25 @@ _PATH_PAIRS = """, pp AS (SELECT a.host AS left_key, b.host AS right_key, a.path
 
 
 def _path_pairs(lens: Lens) -> DataFrame:
+    """Mean common prefix and share of matching paths of all pairs of host classes, without a pair of paths in sight.
+
+    Paths that share a prefix of some depth meet on it, counted by host, prefix and length first: a pair's common prefix
+    is the number of depths at which it meets.
+    """
     host = F.right(F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.lit(12))
-    h = lens.table("pages").select(host.alias("host"), P.contract_path(F.col("url")).alias("path")).where("path is not null")
-    # pairs of hosts need only how often each path occurs: hosts and paths are few, their product is the result's size
-    sets = h.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    a, b = (sets.select(F.col("host").alias(f"{s}_key"), F.col("paths").alias(s)) for s in ("left", "right"))
-    both = a.join(b, F.col("left_key") < F.col("right_key"))
-    ratio = lambda x, y: P.common_prefix_ratio(x, y)
-    pairs = both.select("left_key", "right_key", F.explode("left").alias("l"), "right").select("left_key", "right_key", "l", F.explode("right").alias("r"))
-    return pairs.groupBy("left_key", "right_key").agg(F.avg(ratio(F.col("l"), F.col("r"))).alias("path"), F.avg(F.when(P.prefix_match(F.col("l"), F.col("r")), 1.0).otherwise(0.0)).alias("http"))
+    h = lens.table("pages").select(host.alias("host"), P.contract_path(F.col("url")).alias("path")).where("path is not null").distinct()
+    parts = F.split("path", "/")
+    deep = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    counts = h.select("host", F.size(parts).alias("length"), F.explode(deep).alias("prefix")).groupBy("host", "prefix", "length").agg(F.count("*").alias("n"))
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_key" if c == "host" else c if c == "prefix" else f"{s}_{c}") for c in df.columns])
+    met = side(counts, "left").join(side(counts, "right"), "prefix").where("left_key < right_key")
+    common = met.groupBy("left_key", "right_key").agg(F.sum(F.col("left_n") * F.col("right_n") / F.greatest("left_length", "right_length")).alias("common"))
+    total = h.groupBy("host").agg(F.count("*").alias("all"))
+    match = J.prefix_join(h.select(F.col("host").alias("left_key"), F.col("path").alias("l")), h.select(F.col("host").alias("right_key"), F.col("path").alias("r")), "l", "r").where("left_key < right_key")
+    match = match.groupBy("left_key", "right_key").agg(F.count("*").alias("matches"))
+    both = common.join(match, ["left_key", "right_key"], "left").join(side(total, "left"), "left_key").join(side(total, "right"), "right_key")
+    pairs = F.col("left_all") * F.col("right_all")
+    return both.select("left_key", "right_key", (F.col("common") / pairs).alias("path"), (F.coalesce("matches", F.lit(0)) / pairs).alias("http"))
 
 
 @query(_PATHS + _PATH_PAIRS + " SELECT left_key, right_key, round(path, 6) AS path FROM sim")
@@ -276,15 +287,15 @@ def domain_signal(lens: Lens) -> DataFrame:
 
 
 @query(with_views("members", """, s AS (SELECT domain, list(DISTINCT unit) AS u FROM members GROUP BY domain)
-    SELECT a.domain AS left_key, b.domain AS right_key, CAST(floor(100 * len(list_intersect(a.u, b.u)) / least(len(a.u), len(b.u))) AS INTEGER) AS percent FROM s a JOIN s b ON a.domain < b.domain"""))
+    SELECT a.domain AS left_key, b.domain AS right_key, CAST(floor(100 * len(list_intersect(a.u, b.u)) / least(len(a.u), len(b.u))) AS INTEGER) AS percent FROM s a JOIN s b ON a.domain < b.domain WHERE len(list_intersect(a.u, b.u)) > 0"""))
 def overlap(lens: Lens) -> DataFrame:
-    """A-24 through shared units: pairs of nations are few, and each unit's pairs are counted, not compared."""
+    """A-24 of nations that share units: each unit's pairs are counted, no two sets are compared."""
     m = lens.members().select("unit", "domain")
     size = m.groupBy("domain").agg(F.count("*").alias("n"))
     met = m.select("unit", F.col("domain").alias("left_key")).join(m.select("unit", F.col("domain").alias("right_key")), "unit").where("left_key < right_key").groupBy("left_key", "right_key").agg(F.count("*").alias("both"))
-    x, y = (size.select(F.col("domain").alias(f"{s}_key"), F.col("n").alias(f"n_{s}")) for s in ("left", "right"))
-    pairs = x.join(F.broadcast(y), F.col("left_key") < F.col("right_key")).join(met, ["left_key", "right_key"], "left")  # nations: a dimension of fixed size
-    return pairs.select("left_key", "right_key", F.floor(100 * F.coalesce("both", F.lit(0)) / F.least("n_left", "n_right")).cast("int").alias("percent"))
+    for s in ("left", "right"):
+        met = met.join(size.select(F.col("domain").alias(f"{s}_key"), F.col("n").alias(f"n_{s}")), f"{s}_key")
+    return met.select("left_key", "right_key", F.floor(100 * F.col("both") / F.least("n_left", "n_right")).cast("int").alias("percent"))
 
 
 @query("SELECT round(count(*) FILTER (quality = 1) / CAST(count(*) AS DOUBLE), 6) AS good, round(count(*) FILTER (toxic = 1) / CAST(count(*) AS DOUBLE), 6) AS toxic, count(DISTINCT doc_id) AS documents, count(*) AS labels FROM labels")

@@ -298,6 +298,17 @@ def test_incremental_stream(spark, tmp_path):
     assert rows(incremental.changes(now, now.where("file_id = '1'"), "file_id", "content_hash")) == [("2", "removed")]
 
 
+def test_fill_is_the_plain_fold(spark):
+    import pandas as pd
+
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), i, rng.randrange(1, 60), rng.random() < 0.1, rng.randrange(100)) for i in range(120)]
+    columns = ["g", "id", "size", "required", "priority"]
+    got = budget.fill(spark.createDataFrame(data, "g string, id int, size int, required boolean, priority int"), "g", 300)
+    want = [tuple(r) for g in "ab" for r in budget.fill_rows(pd.DataFrame([d for d in data if d[0] == g], columns=columns), 300).itertuples(index=False)]
+    assert rows(got) == sorted(want)
+
+
 def test_layout(spark):
     from factloom.operators import layout
 
