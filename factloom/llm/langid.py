@@ -8,8 +8,8 @@ least loss is chosen, and the row is flagged as ambiguous when the runner-up is
 Up to seven languages get the exhaustive code (all splits in two), more get random codewords of
 15 * ceil(log2 K) bits with the seed below, redrawn until no two rows are alike.
 
-Training reads at most SAMPLE rows a language, chosen by a hash of the doc_id, from the rows that the caller
-allows; scoring reads whole texts. Inputs of a prediction are the text's bytes alone.
+Training reads at most SAMPLE rows a language and TOTAL rows, chosen by a hash of the doc_id, from the rows that the
+caller allows; scoring reads whole texts. Inputs of a prediction are the text's bytes alone.
 
 Defined results: a null text or one without a letter is `und` with score 0; an empty training set makes every
 prediction `und`; a single language is always chosen, with score 1; repeated rows score alike; an empty table
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Rows a language that training may read, about; hashed n-gram features; passes; step; seed.
-SAMPLE, BUCKETS, PASSES, STEP, SEED = 1500, 1 << 13, 40, 20.0, 20261
+#: Rows a language, and in all, that training may read, about; hashed n-gram features; passes; step; seed.
+SAMPLE, TOTAL, BUCKETS, PASSES, STEP, SEED = 1500, 6000, 1 << 13, 40, 20.0, 20261
 
 #: Bytes that are no letters count as one space: ASCII but for letters, A-Z lower-cased.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -115,6 +115,7 @@ def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
     sizes = {lang: n for lang, n in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
     if not sizes:
         return fit([], [])
+    sample = min(sample, max(20, TOTAL // len(sizes)))
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample / n))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.where(draw < share[F.col("lang")]).select("lang", F.col("text").cast("binary").alias("text")).limit(2 * sample * len(sizes))
