@@ -43,7 +43,7 @@ def resolve_refs(lens: Lens) -> DataFrame:
     # names, not references, meet the units: equal names share one resolution
     names = refs.select("name").distinct()
     met = J.priority_join(names, [(F.col("name"), units, "unit"), (F.col("name"), units.withColumnRenamed("name", "full"), "full"), (F.col("name"), last, "tail")], "name", "unit")
-    met = met.select("name", "priority", F.size("targets").alias("n"), F.get("targets", F.lit(0)).alias("first"), "status")
+    met = met.select("name", "priority", F.size("targets").cast("long").alias("n"), F.get("targets", F.lit(0)).alias("first"), "status")
     return refs.join(met, "name").drop("name")
 
 
@@ -131,7 +131,7 @@ def asof_next(lens: Lens) -> DataFrame:
     points = lens.table("events").select("event_id", "user_id", _event_day().alias("at"))
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")) - 2920
     marks = lens.table("orders").select(F.col("o_custkey").alias("user_id"), day.alias("day"), "o_orderkey")
-    return J.next_asof(points, marks, ["user_id"], "at", "day", "o_orderkey").select("event_id", "day", "o_orderkey")
+    return J.next_asof(points, marks, ["user_id"], "at", "day", "o_orderkey").select("event_id", F.col("day").cast("long").alias("day"), "o_orderkey")
 
 
 @query(

@@ -33,7 +33,7 @@ def primary_domain(lens: Lens) -> DataFrame:
 def top_terms(lens: Lens) -> DataFrame:
     """W-09, W-10: the heaviest terms of each document (a top-k)."""
     rows = lens.table("part").select(F.concat_ws("/", "p_brand", (F.col("p_size") % 4).cast("string")).alias("doc"), F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("term"))
-    return A.top_per_group(A.tf_idf(rows, "doc", "term"), ["doc"], [F.round("weight", 9).desc(), F.col("term")], 3).select("doc", "term", "rank")
+    return A.top_per_group(A.tf_idf(rows, "doc", "term"), ["doc"], [F.round("weight", 9).desc(), F.col("term")], 3).select("doc", "term", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT event_id, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS next FROM events")
