@@ -175,7 +175,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[Data
     release(often, found, whole)
     wholes = known.where("whole").groupBy(*_ROW).agg(F.collect_set("stretch").alias("wholes"))
 
-    unclear = known.where("not whole").select("core").distinct()
+    unclear = materialise(known.where("not whole").select("core").distinct(), "unclear")
     needed = known.join(unclear, "core", "left_semi")
     needed = needed.groupBy(*_ROW).agg(F.collect_set("core").alias("cores"), F.collect_set(F.when(~F.col("whole"), F.col("stretch"))).alias("asks"))
     contexts = materialise(_contexts(_matched(rows, needed)), "contexts")
@@ -195,7 +195,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[Data
 
     spans = asked.where("all").select(*_ROW, "first", F.col("last").alias("final"))
     spans = spans.union(single.select(*_ROW, F.col("start").alias("first"), F.col("start").alias("final")))
-    return sizes, wholes, spans.groupBy(*_ROW).agg(F.collect_set(F.struct("first", "final")).alias("spans")), [known, asked, strings]
+    return sizes, wholes, spans.groupBy(*_ROW).agg(F.collect_set(F.struct("first", "final")).alias("spans")), [known, unclear, asked, strings]
 
 
 def _kept(raw: bytes, wholes: list[int] | None, spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
