@@ -52,8 +52,10 @@ def reach(edges: DataFrame, source: str, target: str, starts: DataFrame | None =
         new = cut(far.join(seen, ["s", "t"], "left_anti"))
         if new.isEmpty():
             return seen.select(F.col("s").alias(source), F.col("t").alias(target))
-        seen = cut(seen.unionByName(new))
+        seen = seen.unionByName(new)  # both are checkpointed
         rounds += 1
+        if rounds % 8 == 0:
+            seen = cut(seen)
         if rounds == patience:
             # nodes that came before the shortcuts must use them too
             hop, new = _shortcuts(hop, both.count()), seen
