@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -54,6 +54,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     with _small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.unregister(_sweep)
+        atexit.register(_sweep)  # after the session's own, so that it runs before
     _written[id(out)] = out, path
     return out
 
@@ -74,7 +77,20 @@ def _sweep() -> None:
         _written.clear()
 
 
-atexit.register(_sweep)
+#: What workers keep between tasks, by the name of the operator, with how to forget it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    """Say that workers keep something for an operator."""
+    _kept[name] = forget
+
+
+def only(name: str = "") -> None:
+    """Forget, in this worker, what it keeps for other operators than `name`: workers outlive stages."""
+    for other, forget in _kept.items():
+        if other != name:
+            forget()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

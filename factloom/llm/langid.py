@@ -33,6 +33,9 @@ from .common import slices
 #: Rows a language, and in all, that training may read, about; hashed n-gram features; passes; step; seed.
 SAMPLE, TOTAL, BUCKETS, PASSES, STEP, SEED = 1500, 6000, 1 << 13, 40, 20.0, 20261
 
+#: Labels that can be learned, the most frequent ones; a bound on the model's size.
+LABELS = 500
+
 #: Bytes that are no letters count as one space: ASCII but for letters, A-Z lower-cased.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -112,7 +115,7 @@ def fit(texts: list[bytes], langs: list[str]) -> Model:
 def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
     """A model from at most about `sample` allowed rows a language (rows whose hash falls under sample / rows)."""
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {lang: n for lang, n in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
+    sizes = {lang: n for lang, n in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()}
     if not sizes:
         return fit([], [])
     sample = min(sample, max(20, TOTAL // len(sizes)))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, materialise, release, slices, texts_of
+from .common import FOLD, materialise, only, release, slices, texts_of
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
@@ -125,7 +125,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), node (first half of the set's identity), twin (second half), regs; n = 0: no node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=8 << 20):
+        only()
+        for batch in slices(batches, limit=4 << 20):
             sets = [shingles(t) for t in texts_of(batch)]
             n = np.array([len(s) for s in sets], np.int64)
             ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2) if sets else np.empty((0, 2), "<i8")

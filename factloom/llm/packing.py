@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import keeps, materialise, only, slices
 
 WINDOW, END_ID = 2048, 1
 
@@ -40,6 +40,7 @@ _DIGITS = "0-9²³¹¼½¾"
 _split = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+").findall
 
 _encoders: dict[str, "WordEncoder"] = {}
+keeps("packing", _encoders.clear)
 
 
 class WordEncoder:
@@ -76,27 +77,26 @@ class WordEncoder:
         if len(self.known) > KNOWN_WORDS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = []
-        for w in words - known.keys():
-            if w in older:
-                known[w] = older[w]
-            elif w.isspace():
-                known[w] = np.array(self.whole(w), self.dtype).tobytes()
-            else:
-                new.append(w)
+        new = words - known.keys()
+        met = new & older.keys()
+        known.update(zip(met, map(older.__getitem__, met)))
+        new -= met
+        space = set(filter(str.isspace, new))
+        known.update((w, np.array(self.whole(w), self.dtype).tobytes()) for w in space)
         # a newline between words is a pre-token of its own, and no other word has its id
-        runs = [new[i : i + 500] for i in range(0, len(new), 500)]
+        rest = list(new - space)
+        runs = [rest[i : i + 500] for i in range(0, len(rest), 500)]
         width = np.dtype(self.dtype).itemsize
         for run, found in zip(runs, self.tok.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(found.ids, self.dtype)
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(run, [*(width * np.flatnonzero(ids == self.newline)).tolist(), len(raw)], strict=True):
-                known[w] = raw[start:end]
-                start = end + width
+            raw, ends = ids.tobytes(), width * np.flatnonzero(ids == self.newline)
+            starts = [0, *(ends + width).tolist()]
+            known.update(zip(run, [raw[a:b] for a, b in zip(starts, [*ends.tolist(), len(raw)], strict=True)], strict=True))
 
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder, kept from task to task."""
+    only("packing")
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, slices, texts_of
+from .common import materialise, only, release, slices, texts_of
 
 LENGTH, GRAM, SPAN, BLOCK = 400, 16, 256, 16
 CORE = LENGTH - SPAN + 1
@@ -89,6 +89,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
     """doc_id, text_hash, core, stretch, places: the distinct runs of each row; and one with null keys a row, with size and sha."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in slices(batches, limit=4 << 20):
             out: tuple[list, ...] = ([], [], [], [], [])
             own: tuple[list, ...] = ([], [], [], [])

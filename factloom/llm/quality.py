@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import only, slices, texts_of
 
 #: Labelled documents that training may read, about; bytes of a passage; sizes of vector and attention; passes.
 SAMPLE, PASSAGE, WIDTH, GATE, PASSES, SEED = 4000, 320, 16, 8, 250, 20262
@@ -164,6 +164,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1, higher: better)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in slices(batches, limit=4 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model, batch))], names=["doc_id", "score"])
 
@@ -175,8 +176,9 @@ def keep_good(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in slices(batches, limit=4 << 20):
-            only = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
-            yield batch.filter(pc.greater_equal(pa.array(_scores(model, only)), limit))
+            texts = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
+            yield batch.filter(pc.greater_equal(pa.array(_scores(model, texts)), limit))
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import keeps, only, slices
 
 MARK = "▁"
 
@@ -32,6 +32,7 @@ MARK = "▁"
 KNOWN_WORDS = 400_000
 
 _models: dict[str, "Pieces"] = {}
+keeps("tokencount", _models.clear)
 
 
 class Pieces:
@@ -92,6 +93,7 @@ class Pieces:
 
 def model(path: str) -> Pieces:
     """The worker's model, kept from task to task."""
+    only("tokencount")
     if path not in _models:
         _models[path] = Pieces.load(path)
     return _models[path]
