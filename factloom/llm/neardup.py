@@ -10,13 +10,13 @@ the parts' registers, so sketches merge; equal registers are the likelier the mo
 3. In a key's group every member is compared with one pivot, another one for each band, never all with all.
 4. Candidates whose sizes or whose joint likelihood estimate can't reach the threshold go; the estimate's margin
    is five standard errors (a pair at the threshold falls below it with probability 3e-7).
-5. The rest is confirmed on full shingle sets, recomputed from the texts, in integers: 100 * common >= 85 * union.
+5. The rest is confirmed on full shingle sets, recomputed from the texts, in integers: 100 * common >= percent * union.
 6. Confirmed links give components. Groups whose members are still in more than one component get their missing
    comparisons: pairs of small groups at once, large groups in cells of two blocks of members each, on full sets in
    memory; a cell gives back only links that join components. So no link is lost to the pivots, and no bucket is cut.
 
-A pair at the threshold shares no band with probability (1 - 0.85**5)**26 = 2.4e-7; these two are the method's only
-losses.
+The threshold is the caller's percent. It sets the number of bands: a pair at it shares no band with probability
+2.4e-7 at most, (1 - 0.85**5)**26 and (1 - 0.8**5)**39; that and the estimate's margin are the method's only losses.
 
 Defined results: null text, empty text and a text of white space have the empty set, are linked with nothing and
 are their own component; fewer than five words make one shingle of the whole sequence; repeated rows are one
@@ -26,7 +26,9 @@ gives no rows; other columns are not read, and dedup() keeps them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import ceil, floor, log
 
 import numpy as np
 import pandas as pd
@@ -40,14 +42,13 @@ from .common import FOLD, materialise, only, release, slices, texts_of
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
 M = BANDS * ROWS
+#: A pair at the threshold may share no band with this probability.
+MISS = 2.4e-7
 #: Base of the exponential spacing, rate of the exponential hashes, largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Groups up to SMALL get all their missing pairs at once; larger ones go to blocks of so many members and bytes of sets,
 #: which are compared by so many hashes at a time.
 SMALL, CELL, CELL_BYTES, SLICE = 24, 256, 8 << 20, 4096
-#: Candidates stay if the estimate reaches this: 0.85 less five standard errors at M registers.
-LEAST = 0.69
-
 _SEED = np.random.default_rng(20260)
 _FACTORS = (_SEED.integers(1, 1 << 32, M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _SHIFTS = _SEED.integers(0, 1 << 32, M, dtype=np.uint64).astype(np.uint32)
@@ -55,6 +56,31 @@ _PLACES = _SEED.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _PIVOTS = [int(x) for x in _SEED.integers(0, 1 << 62, BANDS)]
 
 
+def bands_for(percent: int) -> int:
+    """Bands that a threshold asks for."""
+    if not 50 <= percent <= 95:
+        raise ValueError(f"a threshold of {percent} % is not in 50 to 95")
+    return ceil(log(MISS) / log(1 - (percent / 100) ** ROWS))
+
+
+def least_for(percent: int) -> float:
+    """Candidates stay if the estimate reaches this: the threshold less five standard errors at its registers."""
+    j = percent / 100
+    return floor(100 * (j - 5 * (j * (1 - j) / (bands_for(percent) * ROWS)) ** 0.5)) / 100
+
+
+@lru_cache
+def _functions(bands: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Factors and shifts of the hash functions and the bands' pivots; all numbers of bands share the first ones."""
+    more = np.random.default_rng([20260, bands])
+    n = max(0, bands - BANDS)
+    factors = (more.integers(1, 1 << 32, n * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+    shifts = more.integers(0, 1 << 32, n * ROWS, dtype=np.uint64).astype(np.uint32)
+    pivots = [int(x) for x in more.integers(0, 1 << 62, n)]
+    m = bands * ROWS
+    return np.concatenate([_FACTORS, factors])[:m], np.concatenate([_SHIFTS, shifts])[:m], [*_PIVOTS, *pivots][:bands]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x *= np.uint64(0x9E3779B97F4A7C15)
@@ -79,12 +105,13 @@ def shingles(raw: bytes) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-def minima(own: np.ndarray) -> np.ndarray:
-    """The smallest hash under each of the M functions, as 32-bit numbers."""
+def minima(own: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """The smallest hash under each function of the bands, as 32-bit numbers."""
+    factors, shifts, _ = _functions(bands)
     x = (own >> np.uint64(32)).astype(np.uint32)
-    low = np.full(M, 0xFFFFFFFF, np.uint32)
+    low = np.full(bands * ROWS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 1024):
-        part = (x[None, i : i + 1024] ^ _SHIFTS[:, None]) * _FACTORS[:, None]
+        part = (x[None, i : i + 1024] ^ shifts[:, None]) * factors[:, None]
         np.minimum(low, part.min(axis=1), out=low)
     return low
 
@@ -121,7 +148,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
     return (low + high) / 2
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """doc_id, n (set size), node (first half of the set's identity), twin (second half), regs; n = 0: no node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +157,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts_of(batch)]
             n = np.array([len(s) for s in sets], np.int64)
             ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2) if sets else np.empty((0, 2), "<i8")
-            regs = registers(np.stack([minima(s) for s in sets])) if sets else np.empty((0, M), np.uint16)
+            regs = registers(np.stack([minima(s, bands) for s in sets])) if sets else np.empty((0, bands * ROWS), np.uint16)
             empty = n == 0
             yield pa.RecordBatch.from_arrays(
                 [
@@ -146,55 +173,60 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, node long, twin long, regs binary")
 
 
-def _band_rows(nodes: DataFrame) -> DataFrame:
+def _band_rows(nodes: DataFrame, bands: int) -> DataFrame:
     """band key, node, turn (the node's place in the band's own order of pivots)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.array(_PIVOTS, np.int64)
+        flips = np.array(_functions(bands)[2], np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = np.array(batch.column("node").to_pylist(), np.int64)
-            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), regs.shape[:2]).copy()
+            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), "<u2").reshape(-1, bands, ROWS).astype(np.uint64)
+            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), regs.shape[:2]).copy()
             for i in range(ROWS):
                 key = _mix(key ^ (regs[:, :, i] + np.uint64(i + 1)) * np.uint64(0xA0761D6478BD642F))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(node, BANDS)), pa.array((node[:, None] ^ flips[None, :]).ravel())], names=["key", "node", "turn"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(node, bands)), pa.array((node[:, None] ^ flips[None, :]).ravel())], names=["key", "node", "turn"])
 
     return nodes.select("node", "regs").mapInArrow(run, "key long, node long, turn long")
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sizes and joint likelihood can reach the threshold."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    m, least = bands_for(percent) * ROWS, least_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            r_a, r_b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), "<u2").reshape(-1, M) for x in ("r_a", "r_b"))
+            r_a, r_b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), "<u2").reshape(-1, m) for x in ("r_a", "r_b"))
             n_a, n_b = (batch.column(x).to_numpy() for x in ("n_a", "n_b"))
-            keep = likely(r_a, r_b, n_a, n_b) >= LEAST
+            keep = likely(r_a, r_b, n_a, n_b) >= least
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Those pairs whose full sets share enough."""
-    for batch in slices(batches, "s_a", 4 << 20):
-        keep = []
-        for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist()):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum()) if len(y) else 0
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "s_a", 4 << 20):
+            keep = []
+            for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                both = int((y[at] == x).sum()) if len(y) else 0
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -216,12 +248,12 @@ def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(run, "node long, own binary").dropDuplicates(["node"]), "sets")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold on full shingle sets."""
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("own").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-    out = materialise(both.mapInArrow(_common, "a long, b long"), "links")
+    out = materialise(both.mapInArrow(_common(percent), "a long, b long"), "links")
     release(sets)
     return out
 
@@ -242,7 +274,7 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def linked_in_cell(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray, one: bool) -> list[tuple[int, int]]:
+def linked_in_cell(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray, one: bool, percent: int) -> list[tuple[int, int]]:
     """Places of the pairs that join different roots, as few as connect all that belongs together.
 
     All sets are compared at once: hashes that two or more members have become columns, and the products of slices of
@@ -263,7 +295,7 @@ def linked_in_cell(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray,
         x = np.zeros((len(sets), SLICE), np.float32)
         x[member[lo:hi], column[lo:hi] - start] = 1
         common += x @ x.T
-    fits = 100 * common >= PERCENT * (n[:, None] + n[None, :] - common)
+    fits = 100 * common >= percent * (n[:, None] + n[None, :] - common)
     fits &= root[:, None] != root[None, :]
     if not one:
         fits &= block[:, None] != block[None, :]
@@ -284,7 +316,7 @@ def linked_in_cell(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray,
     return out
 
 
-def _in_cells(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _in_cells(rows: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of large groups: each block of members against each, on full sets.
 
     A block has at most CELL members and about CELL_BYTES of sets, so a cell fits in memory whatever the group's size;
@@ -301,7 +333,7 @@ def _in_cells(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, root, block = (pdf[x].to_numpy() for x in ("node", "root", "block"))
         sets = [np.frombuffer(x, "<u8") for x in pdf["own"]]
-        found = linked_in_cell(sets, root, block, pdf["i"].iat[0] == pdf["j"].iat[0])
+        found = linked_in_cell(sets, root, block, pdf["i"].iat[0] == pdf["j"].iat[0], percent)
         return pd.DataFrame({"a": [min(node[i], node[j]) for i, j in found], "b": [max(node[i], node[j]) for i, j in found]}, dtype="int64")
 
     # cells are heavy for their bytes: deal them out over all partitions
@@ -311,20 +343,21 @@ def _in_cells(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches (a row per document), nodes (a row per class) and roots (node, root of each linked class)."""
-    own = materialise(sketches(docs), "sketches")
+    bands = bands_for(percent)
+    own = materialise(sketches(docs, bands), "sketches")
     first = own.where("n > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id"))
     nodes = own.select("node", "twin", "doc_id", "n", "regs").join(first.withColumnRenamed("doc_id", "first").withColumnRenamed("node", "f").withColumnRenamed("twin", "t"), (F.col("node") == F.col("f")) & (F.col("twin") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")))
     nodes = materialise(nodes.select("node", "twin", "doc_id", "n", "regs").dropDuplicates(["node"]), "nodes")
 
-    rows = _band_rows(nodes)
+    rows = _band_rows(nodes, bands)
     heads = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("turn").alias("first")).where("size > 1")
     met = materialise(rows.join(heads, "key").select("key", "node", (F.col("turn") == F.col("first")).alias("pivot"), "size", F.col("first").bitwiseXOR(F.col("turn")).bitwiseXOR(F.col("node")).alias("head")), "bands")
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     stars = met.where("not pivot").select(*pair("node", "head")).distinct()
-    tried = materialise(_estimated(stars, nodes), "candidates")
-    links = _confirmed(tried, nodes, docs)
+    tried = materialise(_estimated(stars, nodes, percent), "candidates")
+    links = _confirmed(tried, nodes, docs, percent)
     roots = components(links)
 
     # groups of three or more that are not yet one component lack the pairs without their pivot
@@ -334,19 +367,19 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     few = more.where((F.col("size") <= SMALL) & ~F.col("pivot")).select("key", "node", "root")
     other = few.select("key", F.col("node").alias("node2"), F.col("root").alias("root2"))
     near = few.join(other, "key").where("node < node2 and root != root2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    extra = _in_cells(more.where(F.col("size") > SMALL).select("key", "node", "root"), nodes, docs)
-    fresh = materialise(_estimated(near, nodes).join(tried, ["a", "b"], "left_anti"), "candidates-2")
+    extra = _in_cells(more.where(F.col("size") > SMALL).select("key", "node", "root"), nodes, docs, percent)
+    fresh = materialise(_estimated(near, nodes, percent).join(tried, ["a", "b"], "left_anti"), "candidates-2")
     if not fresh.isEmpty():
-        extra = extra.union(_confirmed(fresh, nodes, docs))
+        extra = extra.union(_confirmed(fresh, nodes, docs, percent))
     if not extra.isEmpty():
         roots = components(links.union(extra))
     release(met, more)
     return own, nodes, roots
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    own, _, roots = link(docs)
+    own, _, roots = link(docs, percent)
     named = own.select("doc_id", "n", "node", "twin").join(roots, "node", "left")
     # documents without a set stand alone: a group of their own for each doc_id
     named = named.select("doc_id", "n", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("twin")).alias("twin"), F.when(F.col("n") == 0, F.col("doc_id")).alias("alone"))
@@ -357,7 +390,7 @@ def groups(docs: DataFrame) -> DataFrame:
     return out.select("x.doc_id", F.col("x.n").alias("n_shingles"), "y.component_id", F.col("x.doc_id").eqNullSafe(F.col("y.component_id")).alias("kept"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = groups(docs, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["doc_id"])

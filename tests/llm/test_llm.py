@@ -162,6 +162,30 @@ def test_near_dedup_keeps_one(odd):
     assert {r.doc_id for r in kept.collect()} == groups and kept.count() == len(groups)
 
 
+def test_near_dedup_at_80(spark):
+    """Pairs of Jaccard 0.72 to 0.90: a caller's threshold of 80 links those from 0.80, each alone."""
+    rows, low = [], {80: [], 85: []}
+    for k, changes in enumerate([4, 6, 7, 8, 9, 10, 12]):
+        w = [f"w{k}-{i}" for i in range(400)]
+        x = [f"x{i}" if i % 25 == 12 and i // 25 < changes else v for i, v in enumerate(w)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+        a, b = ({tuple(v[i : i + 5]) for i in range(396)} for v in (w, x))
+        for percent in low:
+            low[percent] += [2 * k, 2 * k if 100 * len(a & b) >= percent * len(a | b) else 2 * k + 1]
+    assert low[80] != low[85]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in low:
+        got = sorted((r.doc_id, r.component_id) for r in neardup.groups(df, percent).collect())
+        assert [c for _, c in got] == low[percent]
+        assert sorted(r.doc_id for r in neardup.dedup(df, percent).collect()) == sorted(set(low[percent]))
+
+
+def test_bands_follow_the_threshold():
+    assert (neardup.bands_for(85), neardup.least_for(85)) == (neardup.BANDS, 0.69)
+    for percent in (50, 70, 80, 90, 95):
+        assert (1 - (percent / 100) ** neardup.ROWS) ** neardup.bands_for(percent) <= neardup.MISS
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(5)
     for j in (0.5, 0.85):
