@@ -21,7 +21,9 @@ The threshold is the caller's percent. It sets the number of bands: a pair at it
 Defined results: null text, empty text and a text of white space have the empty set, are linked with nothing and
 are their own component; fewer than five words make one shingle of the whole sequence; repeated rows are one
 class; a null doc_id is smaller than no other and names a component only if all its ids are null; an empty table
-gives no rows; other columns are not read, and dedup() keeps them.
+gives no rows; other columns are not read, and dedup() keeps them. dedup() keeps one row of each component, by doc_id
+and text: rows that share a doc_id, or have none, are lost to none but their own component; rows without a set are one
+if doc_id and text are equal.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLD, materialise, only, release, slices, texts_of
@@ -148,8 +150,12 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
     return (low + high) / 2
 
 
-def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
-    """doc_id, n (set size), node (first half of the set's identity), twin (second half), regs; n = 0: no node."""
+def sketches(docs: DataFrame, bands: int = BANDS, marked: bool = False) -> DataFrame:
+    """doc_id, n (set size), node (first half of the set's identity), twin (second half), regs; n = 0: no node.
+
+    If marked, also sha, of the text as it is.
+    """
+    marks = ["sha"] if marked else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
@@ -166,11 +172,13 @@ def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
                     pa.array(np.ascontiguousarray(ids[:, 0]), mask=empty),
                     pa.array(np.ascontiguousarray(ids[:, 1]), mask=empty),
                     pa.array([None if e else r.tobytes() for e, r in zip(empty, regs)], pa.binary()),
+                    *(batch.column(x) for x in marks),
                 ],
-                names=["doc_id", "n", "node", "twin", "regs"],
+                names=["doc_id", "n", "node", "twin", "regs", *marks],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, node long, twin long, regs binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([_sha(docs).alias("sha")] if marked else []))
+    return rows.mapInArrow(run, "doc_id long, n long, node long, twin long, regs binary" + ", sha string" * marked)
 
 
 def _band_rows(nodes: DataFrame, bands: int) -> DataFrame:
@@ -343,10 +351,10 @@ def _in_cells(rows: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     return out
 
 
-def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(docs: DataFrame, percent: int = PERCENT, marked: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches (a row per document), nodes (a row per class) and roots (node, root of each linked class)."""
     bands = bands_for(percent)
-    own = materialise(sketches(docs, bands), "sketches")
+    own = materialise(sketches(docs, bands, marked), "sketches")
     first = own.where("n > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id"))
     nodes = own.select("node", "twin", "doc_id", "n", "regs").join(first.withColumnRenamed("doc_id", "first").withColumnRenamed("node", "f").withColumnRenamed("twin", "t"), (F.col("node") == F.col("f")) & (F.col("twin") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")))
     nodes = materialise(nodes.select("node", "twin", "doc_id", "n", "regs").dropDuplicates(["node"]), "nodes")
@@ -390,7 +398,21 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("x.doc_id", F.col("x.n").alias("n_shingles"), "y.component_id", F.col("x.doc_id").eqNullSafe(F.col("y.component_id")).alias("kept"))
 
 
+def _sha(docs: DataFrame) -> Column:
+    return F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)
+
+
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns."""
-    kept = groups(docs, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, the one with the smallest doc_id, with all its columns.
+
+    Of several texts with that doc_id in one group, the one with the smallest hash stays.
+    """
+    own, _, roots = link(docs, percent, marked=True)
+    named = own.join(roots, "node", "left")
+    # one group a root, or a class that is linked with nothing, or a row without a set
+    keys = [F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("twin")).alias("twin"), *(F.when(F.col("n") == 0, F.col(x)).alias(f"alone_{x}") for x in ("doc_id", "sha"))]
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("best")
+    kept = named.groupBy(*keys).agg(best).select(F.col("best.doc_id").alias("__id"), F.col("best.sha").alias("__kept")).distinct()
+    rows = docs.withColumn("__sha", _sha(docs))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__kept"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__sha"]).drop("__sha")

@@ -162,6 +162,19 @@ def test_near_dedup_keeps_one(odd):
     assert {r.doc_id for r in kept.collect()} == groups and kept.count() == len(groups)
 
 
+def test_near_dedup_keeps_unlike_texts(spark):
+    """One doc_id for two unlike texts, unlike texts without one, and near copies across them."""
+    rng = random.Random(11)
+    a, b, c, d, e = ([f"{rng.randrange(10**6)}" for _ in range(200)] for _ in range(5))
+    near = lambda w: " ".join([*w[:100], "changed", *w[101:]])
+    a, b, c, d, e = map(" ".join, (a, b, c, d, e))
+    rows = [(1, a), (1, b), (2, near(b.split())), (None, c), (None, c), (None, d), (None, e), (3, near(e.split())), (None, None), (None, ""), (None, " "), (4, ""), (4, "\n")]
+    got = collections.Counter(table(neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))))
+    blank = {k: n for k, n in got.items() if not (k[1] or "").strip()}
+    assert {k: n for k, n in got.items() if k not in blank} == {(1, a): 1, (1, b): 1, (None, c): 1, (None, d): 1, (3, near(e.split())): 1}
+    assert sorted((str(i), t or "") for i, t in blank) == [("4", ""), ("4", "\n"), ("None", ""), ("None", " ")] and set(blank.values()) == {1}
+
+
 def test_near_dedup_at_80(spark):
     """Pairs of Jaccard 0.72 to 0.90: a caller's threshold of 80 links those from 0.80, each alone."""
     rows, low = [], {80: [], 85: []}
