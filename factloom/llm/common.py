@@ -93,6 +93,14 @@ def only(name: str = "") -> None:
             forget()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a batch's texts; null counts as empty."""
     col = batch.column(column).cast(pa.large_binary())

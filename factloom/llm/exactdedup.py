@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, fresh, materialise
 
 BLOCK = 4096
 _NONE = -1  # the missing right half of an odd pair; names are not negative but for blocks of a shared hash
@@ -92,7 +92,8 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the row with the largest doc_id, once."""
-    named = groups(docs, block).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    own = docs.withColumn("__sha", F.sha2(ascii_lower(F.col("text").cast("string")).cast("binary"), 256))
-    own = own.join(named, own["doc_id"].cast("long").eqNullSafe(named["__id"]) & (own["__sha"] == named["__sha"]), "left_semi")
-    return own.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    sha, key = fresh(docs, "sha"), fresh(docs, "key")
+    named = groups(docs, block).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(f"{sha}2")).distinct()
+    own = docs.withColumn(sha, F.sha2(ascii_lower(F.col("text").cast("string")).cast("binary"), 256))
+    own = own.join(named, own["doc_id"].cast("long").eqNullSafe(named[key]) & (own[sha] == named[f"{sha}2"]), "left_semi")
+    return own.dropDuplicates(["doc_id", sha]).select(*[own[f"`{c}`"] for c in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import fresh, slices, texts_of
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -186,12 +186,14 @@ FEATURES = f"codec string, width int, height int, timescale long, duration_ms lo
 
 
 def inspect(blobs: DataFrame, column: str = "media") -> DataFrame:
-    """The rows with the features of the containers in `column` and, for those that can't be read, the error."""
-    names = [x.split()[0] for x in FEATURES.split(", ")]
+    """The rows with the features of the containers in `column` and, for those that can't be read, the error.
+
+    A feature whose name a column has already gets an underscore more.
+    """
+    names = [fresh(blobs, x.split()[0]) for x in FEATURES.split(", ")]
+    features = ", ".join(f"`{n}` {x.split(' ', 1)[1]}" for n, x in zip(names, FEATURES.split(", ")))
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), ranges, ranges, pa.string()]
-    if clash := {x.lower() for x in names} & {x.lower() for x in blobs.columns}:
-        raise ValueError(f"columns with the names of features: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, 8 << 20):
@@ -202,10 +204,10 @@ def inspect(blobs: DataFrame, column: str = "media") -> DataFrame:
                     rows.append(info | {k: [{"start": a, "length": n} for a, n in info[k].tolist()] for k in ("chunks", "keyframes")})
                 except ValueError as e:
                     rows.append({"error": str(e)})
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds))], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r.get(n.split()[0]) for r in rows], k) for n, k in zip(FEATURES.split(", "), kinds))], names=[*batch.schema.names, *names])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blobs.schema)
-    return blobs.mapInArrow(run, f"{own}, {FEATURES}")
+    return blobs.mapInArrow(run, f"{own}, {features}")
 
 
 def digest(media: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, materialise, only, release, slices, texts_of
+from .common import FOLD, fresh, materialise, only, release, slices, texts_of
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
@@ -151,7 +151,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, marked: bool = False) -> DataFrame:
-    """doc_id, n (set size), node (first half of the set's identity), twin (second half), regs; n = 0: no node.
+    """doc_id, n (set size), head and twin (the halves of the set's identity of 128 bits), regs; n = 0: none of them.
 
     If marked, also sha, of the text as it is.
     """
@@ -174,11 +174,11 @@ def sketches(docs: DataFrame, bands: int = BANDS, marked: bool = False) -> DataF
                     pa.array([None if e else r.tobytes() for e, r in zip(empty, regs)], pa.binary()),
                     *(batch.column(x) for x in marks),
                 ],
-                names=["doc_id", "n", "node", "twin", "regs", *marks],
+                names=["doc_id", "n", "head", "twin", "regs", *marks],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([_sha(docs).alias("sha")] if marked else []))
-    return rows.mapInArrow(run, "doc_id long, n long, node long, twin long, regs binary" + ", sha string" * marked)
+    return rows.mapInArrow(run, "doc_id long, n long, head long, twin long, regs binary" + ", sha string" * marked)
 
 
 def _band_rows(nodes: DataFrame, bands: int) -> DataFrame:
@@ -189,14 +189,14 @@ def _band_rows(nodes: DataFrame, bands: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node = np.array(batch.column("node").to_pylist(), np.int64)
+            node, head = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("node", "head"))
             regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), "<u2").reshape(-1, bands, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), regs.shape[:2]).copy()
             for i in range(ROWS):
                 key = _mix(key ^ (regs[:, :, i] + np.uint64(i + 1)) * np.uint64(0xA0761D6478BD642F))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(node, bands)), pa.array((node[:, None] ^ flips[None, :]).ravel())], names=["key", "node", "turn"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(node, bands)), pa.array((head[:, None] ^ flips[None, :]).ravel())], names=["key", "node", "turn"])
 
-    return nodes.select("node", "regs").mapInArrow(run, "key long, node long, turn long")
+    return nodes.select("node", "head", "regs").mapInArrow(run, "key long, node long, turn long")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -239,17 +239,17 @@ def _common(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, own: the full shingle set of each wanted node, taken from its text again."""
-    own = nodes.select("node", "doc_id", "twin").join(wanted.select("node").distinct(), "node")
+    own = nodes.select("node", "doc_id", "head", "twin").join(wanted.select("node").distinct(), "node")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # a node's text is that of its doc_id; rows that share a doc_id are told apart by the set's identity below
-    rows = rows.join(own, rows.doc_id.eqNullSafe(own.doc_id)).select("node", "twin", "text")
+    rows = rows.join(own, rows.doc_id.eqNullSafe(own.doc_id)).select("node", "head", "twin", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=8 << 20):
             out: list[tuple[int, bytes]] = []
-            for node, twin, raw in zip(batch.column("node").to_pylist(), batch.column("twin").to_pylist(), texts_of(batch)):
+            for node, head, twin, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "head", "twin")), texts_of(batch)):
                 own = shingles(raw).tobytes()
-                if np.frombuffer(xxhash.xxh3_128_digest(own), "<i8").tolist() == [node, twin]:
+                if np.frombuffer(xxhash.xxh3_128_digest(own), "<i8").tolist() == [head, twin]:
                     out.append((node, own))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["node", "own"])
 
@@ -271,14 +271,16 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     both = materialise(both.distinct(), "edges")
     label = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root"))
-    label = materialise(label, "labels")
+    before = label = materialise(label, "labels")
     while True:
         far = both.join(label.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
         step = label.join(far, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("next"))
         step = materialise(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
-        label = step.select("node", "root")
+        release(before)
+        before, label = step, step.select("node", "root")
         if step.where("was != root").isEmpty():
+            release(both)
             return label
 
 
@@ -352,18 +354,20 @@ def _in_cells(rows: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
 
 
 def link(docs: DataFrame, percent: int = PERCENT, marked: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches (a row per document), nodes (a row per class) and roots (node, root of each linked class)."""
+    """Sketches (a row per document), nodes (a row per class, numbered) and roots (node, root of each linked class)."""
     bands = bands_for(percent)
     own = materialise(sketches(docs, bands, marked), "sketches")
-    first = own.where("n > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id"))
-    nodes = own.select("node", "twin", "doc_id", "n", "regs").join(first.withColumnRenamed("doc_id", "first").withColumnRenamed("node", "f").withColumnRenamed("twin", "t"), (F.col("node") == F.col("f")) & (F.col("twin") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    nodes = materialise(nodes.select("node", "twin", "doc_id", "n", "regs").dropDuplicates(["node"]), "nodes")
+    first = own.where("n > 0").groupBy("head", "twin").agg(F.min("doc_id").alias("first")).withColumnsRenamed({"head": "h", "twin": "t"})
+    nodes = own.select("head", "twin", "doc_id", "n", "regs").join(first, (F.col("head") == F.col("h")) & (F.col("twin") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    nodes = nodes.select("head", "twin", "doc_id", "n", "regs").dropDuplicates(["head", "twin"])
+    # the numbers are fixed once the table is written
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     rows = _band_rows(nodes, bands)
-    heads = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("turn").alias("first")).where("size > 1")
-    met = materialise(rows.join(heads, "key").select("key", "node", (F.col("turn") == F.col("first")).alias("pivot"), "size", F.col("first").bitwiseXOR(F.col("turn")).bitwiseXOR(F.col("node")).alias("head")), "bands")
+    pivots = rows.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", "turn").alias("first")).where("size > 1")
+    met = materialise(rows.join(pivots, "key").select("key", "node", (F.col("node") == F.col("first")).alias("pivot"), "size", "first"), "bands")
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    stars = met.where("not pivot").select(*pair("node", "head")).distinct()
+    stars = met.where("not pivot").select(*pair("node", "first")).distinct()
     tried = materialise(_estimated(stars, nodes, percent), "candidates")
     links = _confirmed(tried, nodes, docs, percent)
     roots = components(links)
@@ -385,16 +389,18 @@ def link(docs: DataFrame, percent: int = PERCENT, marked: bool = False) -> tuple
     return own, nodes, roots
 
 
+def _rooted(own: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """own with the root of its class (the class itself if it is linked with nothing); none for rows without a set."""
+    named = nodes.select(F.col("head").alias("h"), F.col("twin").alias("t"), "node").join(roots, "node", "left").select("h", "t", F.coalesce("root", "node").alias("root"))
+    return own.drop("regs").join(named, (F.col("head") == F.col("h")) & (F.col("twin") == F.col("t")), "left").drop("h", "t")
+
+
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    own, _, roots = link(docs, percent)
-    named = own.select("doc_id", "n", "node", "twin").join(roots, "node", "left")
     # documents without a set stand alone: a group of their own for each doc_id
-    named = named.select("doc_id", "n", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("twin")).alias("twin"), F.when(F.col("n") == 0, F.col("doc_id")).alias("alone"))
-    keys = ["root", "twin", "alone"]
-    least = named.groupBy(*keys).agg(F.min("doc_id").alias("component_id"))
-    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
-    out = named.alias("x").join(least.alias("y"), same[0] & same[1] & same[2])
+    named = _rooted(*link(docs, percent)).select("doc_id", "n", "root", F.when(F.col("n") == 0, F.col("doc_id")).alias("alone"))
+    least = named.groupBy("root", "alone").agg(F.min("doc_id").alias("component_id"))
+    out = named.alias("x").join(least.alias("y"), F.col("x.root").eqNullSafe(F.col("y.root")) & F.col("x.alone").eqNullSafe(F.col("y.alone")))
     return out.select("x.doc_id", F.col("x.n").alias("n_shingles"), "y.component_id", F.col("x.doc_id").eqNullSafe(F.col("y.component_id")).alias("kept"))
 
 
@@ -407,12 +413,12 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Of several texts with that doc_id in one group, the one with the smallest hash stays.
     """
-    own, _, roots = link(docs, percent, marked=True)
-    named = own.join(roots, "node", "left")
-    # one group a root, or a class that is linked with nothing, or a row without a set
-    keys = [F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("twin")).alias("twin"), *(F.when(F.col("n") == 0, F.col(x)).alias(f"alone_{x}") for x in ("doc_id", "sha"))]
+    # one group a root, or a row without a set
+    keys = ["root", *(F.when(F.col("n") == 0, F.col(x)).alias(f"alone_{x}") for x in ("doc_id", "sha"))]
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("best")
-    kept = named.groupBy(*keys).agg(best).select(F.col("best.doc_id").alias("__id"), F.col("best.sha").alias("__kept")).distinct()
-    rows = docs.withColumn("__sha", _sha(docs))
-    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    sha, key = fresh(docs, "sha"), fresh(docs, "key")
+    kept = _rooted(*link(docs, percent, marked=True)).groupBy(*keys).agg(best)
+    kept = kept.select(F.col("best.doc_id").alias(key), F.col("best.sha").alias(f"{sha}2")).distinct()
+    rows = docs.withColumn(sha, _sha(docs))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept[key]) & (rows[sha] == kept[f"{sha}2"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", sha]).select(*[rows[f"`{c}`"] for c in docs.columns])
