@@ -8,8 +8,8 @@ least loss is chosen, and the row is flagged as ambiguous when the runner-up is
 Up to seven languages get the exhaustive code (all splits in two), more get random codewords of
 15 * ceil(log2 K) bits with the seed below, redrawn until no two rows are alike.
 
-Training reads at most SAMPLE rows a language and TOTAL rows, chosen by a hash of the doc_id, from the rows that the
-caller allows; scoring reads whole texts. Inputs of a prediction are the text's bytes alone.
+Training learns every language. It reads at most about SAMPLE rows a language, TOTAL rows (but LEAST a language) and
+BYTES of texts, chosen by a hash of the doc_id, from the rows that the caller allows; scoring reads whole texts. Inputs of a prediction are the text's bytes alone.
 
 Defined results: a null text or one without a letter is `und` with score 0; an empty training set makes every
 prediction `und`; a single language is always chosen, with score 1; repeated rows score alike; an empty table
@@ -30,11 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Rows a language, and in all, that training may read, about; hashed n-gram features; passes; step; seed.
-SAMPLE, TOTAL, BUCKETS, PASSES, STEP, SEED = 1500, 6000, 1 << 13, 40, 20.0, 20261
-
-#: Labels that can be learned, the most frequent ones; a bound on the model's size.
-LABELS = 500
+#: Rows a language, rows and bytes in all, that training may read, about, and rows that a language has at least;
+#: hashed n-gram features; passes; step; seed.
+SAMPLE, TOTAL, BYTES, LEAST, BUCKETS, PASSES, STEP, SEED = 1500, 6000, 64 << 20, 8, 1 << 13, 40, 20.0, 20261
 
 #: Bytes that are no letters count as one space: ASCII but for letters, A-Z lower-cased.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -81,7 +79,8 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its probability, its lead over the next."""
         margin = x @ self.w + self.c
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]) @ self.trust
+        # log(1 + exp(-m)) for a bit that is set; m more for one that is not
+        loss = (np.logaddexp(0, -margin) @ self.trust)[:, None] + (margin * self.trust) @ ((1 - self.code) / 2).T
         like = np.exp(loss.min(1, keepdims=True) - loss)
         like /= like.sum(1, keepdims=True)
         order = np.sort(like, 1)
@@ -97,7 +96,8 @@ def fit(texts: list[bytes], langs: list[str]) -> Model:
     if len(names) < 2:
         return Model(names, code, np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
     x = np.stack([features(t) for t in texts])
-    y = np.array([names.index(v) for v in langs])
+    place = {v: i for i, v in enumerate(names)}
+    y = np.array([place[v] for v in langs])
     weight = (1 / np.bincount(y)[y] / len(names)).astype(np.float32)
     target = code[y].astype(np.float32)
     w, c = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
@@ -113,15 +113,19 @@ def fit(texts: list[bytes], langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
-    """A model from at most about `sample` allowed rows a language (rows whose hash falls under sample / rows)."""
-    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {lang: n for lang, n in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()}
+    """A model from at most about `sample` allowed rows a language (rows whose hash falls under sample / rows); of a
+    language whose rows all miss their share, the row of the smallest hash."""
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
+    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", draw.alias("draw"), F.col("text").cast("binary").alias("text"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min("draw").alias("low"))
+    sizes = sizes.collect()  # a row a language, as the model has
     if not sizes:
         return fit([], [])
-    sample = min(sample, max(20, TOTAL // len(sizes)))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample / n))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.where(draw < share[F.col("lang")]).select("lang", F.col("text").cast("binary").alias("text")).limit(2 * sample * len(sizes))
+    sample = min(sample, max(LEAST, TOTAL // len(sizes)))
+    held = sum(min(1.0, sample / s.n) * s.size for s in sizes)
+    limits = [(s.lang, max(min(1.0, sample / s.n) * min(1.0, BYTES / max(1, held)), s.low)) for s in sizes]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, most double")
+    chosen = rows.join(F.broadcast(limits), "lang").where("draw <= most").select("lang", "text").limit(2 * sample * len(sizes))
     got = sorted((lang, bytes(text)) for lang, text in chosen.collect())
     return fit([t for _, t in got], [v for v, _ in got])
 

@@ -5,13 +5,14 @@ encoder maps a passage's measures (classes of characters, repetition, word shape
 gives it the weight a ~ exp(w . (tanh(V h) * sigmoid(U h))), normalised over the document; the weighted mean of
 the vectors is scored by a logistic unit. Labels belong to documents alone; which passages matter is learned.
 
-The model is fitted on the driver from at most about SAMPLE labelled documents, chosen by a hash of the doc_id
-from the rows that the caller allows. Scoring reads whole texts; label, lang, source and doc_id are no inputs.
+The model is fitted on the driver from at most about SAMPLE labelled documents and BYTES of their texts, chosen by a
+hash of the doc_id from the rows that the caller allows. Scoring reads whole texts; label, lang, source and doc_id are no inputs.
 
 Defined results: null and empty texts have one empty passage and a score like any other; labels that are null,
-or of documents that don't exist, are not used; a document with several labels counts by the largest; no usable
-labels, or only one kind, make every score that kind's share (1 without any); repeated rows score alike; an
-empty table gives no rows; other columns are not read by the scores and kept by keep_good().
+or of documents that don't exist, are not used; a document with several labels counts by the largest,
+one with several texts by the smallest in byte order; no usable labels, or only one kind, make
+every score that kind's share (1 without any); repeated rows score alike; an empty table gives no rows; other columns
+are not read by the scores and kept by keep_good().
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices, texts_of
+from .common import materialise, only, release, slices, texts_of
 
-#: Labelled documents that training may read, about; bytes of a passage; sizes of vector and attention; passes.
-SAMPLE, PASSAGE, WIDTH, GATE, PASSES, SEED = 4000, 320, 16, 8, 250, 20262
+#: Labelled documents and bytes of texts that training may read, about; bytes of a passage; sizes of vector and attention; passes.
+SAMPLE, BYTES, PASSAGE, WIDTH, GATE, PASSES, SEED = 4000, 32 << 20, 320, 16, 8, 250, 20262
 LIMIT = 0.7
 
 # classes of bytes: other punctuation, lower, upper, digit, space, newline, . , ! | # $ % & * - and non-ASCII
@@ -144,12 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAM
     marks = labels.where(allowed & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     share = min(1.0, sample / max(1, marks.count()))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = {k: q for k, q in marks.where(draw < share).limit(2 * sample).collect()}  # the bound is the sample's
-    if not chosen:
-        return fit([], [])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.col("doc_id").isin(list(chosen)))
-    got = sorted((k, bytes(t or b"")) for k, t in rows.dropDuplicates(["doc_id"]).collect())
-    return fit([t for _, t in got], [chosen[k] for k, _ in got])
+    chosen = marks.where(draw < share).limit(2 * sample)  # twice the sample bounds the side that is broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    rows = materialise(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled")
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    got = sorted((k, q, bytes(t)) for k, q, t in rows.where(draw < share * min(1.0, BYTES / max(1, size))).collect())
+    release(rows)
+    return fit([t for _, _, t in got], [q for _, q, _ in got])
 
 
 def _scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
