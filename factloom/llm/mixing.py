@@ -7,10 +7,13 @@ the expected tokens are KEEP of all; a cell that would have to repeat documents
 scale makes up for it. A document is kept if a hash of its doc_id, spread over [0, 1), lies below its cell's
 probability.
 
-Only the table of cells reaches the driver: its size is bounded by the targets' entries, as every source or
-language that has no target of its own counts as `other`. A source that holds a third of all rows costs one
+Only the table of cells reaches the driver, and is broadcast: its size is bounded by the targets' entries, as every
+source or language that has no target of its own counts as `other`. A source that holds a third of all rows costs one
 partial sum a task.
 
+Tokens are the runs of letters and digits and the single other signs, counted by a pattern. The topic is the kind of
+marks (licenses, tables, contacts) that a text has most of, if there is one in every RATE tokens, else prose.
+
 Defined results: null source or language counts as `other`; null and empty texts have one token; categories that
 no document falls into are left out and the other targets scaled up; if a cell can't reach its targets (the
 categories present contradict each other) the last round stands; rows of one doc_id are kept or dropped together;
@@ -22,19 +25,29 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 OTHER = "other"
 ITERATIONS = 40
 
-#: Share of all tokens that the sample is to have.
+#: Share of all tokens that the sample is to have: a fifth may go to hold down a source that has too many.
 KEEP = 0.8
 
-#: Target shares of tokens. What has no entry counts as `other`.
-SOURCES = {"src0": 0.33, "src1": 0.035, "src2": 0.035, "src3": 0.035, "src4": 0.035, OTHER: 0.53}
-LANGS = {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.115, OTHER: 0.005}
-TOPICS = {"prose": 0.88, "table": 0.03, "legal": 0.04, "contact": 0.05}
+#: Target shares of tokens: one source may have a fifth, the others the same each; half English, the rest to the others
+#: alike; little that is no prose. What has no entry counts as `other`.
+SOURCES = {"src0": 0.2} | {f"src{i}": 0.04 for i in range(1, 20)} | {OTHER: 0.04}
+LANGS = {"en": 0.52, "de": 0.16, "fr": 0.16, "es": 0.15, OTHER: 0.01}
+TOPICS = {"prose": 0.94, "table": 0.02, "legal": 0.02, "contact": 0.02}
+
+#: Marks of the topics but prose, and the tokens that one of them may stand for at most.
+MARKS = {"legal": ("icens", "opyright", "arrant", " CC BY"), "table": (" | ", "\t"), "contact": ("@", "+1 (", "://")}
+RATE = 40
+
+#: A token: letters and digits, or one sign that is neither these nor blank.
+TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x00-\x20]"
 
 Targets = tuple[Mapping[str, float], Mapping[str, float], Mapping[str, float]]
 TARGETS: Targets = (SOURCES, LANGS, TOPICS)
@@ -45,14 +58,20 @@ def _class(value: Column, targets: Mapping[str, float]) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """Topic by marks in the text, the first that fits."""
-    has = lambda *marks: F.greatest(*[F.coalesce(F.contains(text, F.lit(m)), F.lit(False)) for m in (*marks, "\0\0\0")])
-    return F.when(has("icense", " CC BY"), "legal").when(has(" | "), "table").when(has("@", "+1 (", "://"), "contact").otherwise("prose")
+    """The topic whose marks are the most, the first of equals, if they are dense enough; else prose."""
+    text = F.coalesce(text, F.lit(""))
+    count = lambda m: (F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))) / len(m)
+    found = {topic: sum((count(m) for m in marks[1:]), count(marks[0])) for topic, marks in MARKS.items()}
+    most = F.greatest(*found.values())
+    out = F.when(most * RATE < tokens_of(text), "prose")
+    for topic, n in found.items():
+        out = out.when(n == most, topic)
+    return out
 
 
 def tokens_of(text: Column) -> Column:
-    """Estimated tokens: a quarter of the bytes, rounded up, one at least."""
-    return F.greatest(F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long"), F.lit(1).cast("long"))
+    """Tokens by the pattern, one at least."""
+    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long"), F.lit(1).cast("long"))
 
 
 def spread(doc_id: Column) -> Column:
@@ -105,24 +124,31 @@ def probabilities(docs: DataFrame, targets: Targets = TARGETS, keep: float = KEE
     return {k: (round(w, 9), round(min(1.0, scale * w), 9)) for k, w in weight.items()}
 
 
-def _look_up(found: dict[tuple[str, str, str], tuple[float, float]], i: int, cell: Column) -> Column:
-    if not found:
-        return F.lit(0.0)
-    return F.create_map(*[F.lit(x) for k, v in sorted(found.items()) for x in ("/".join(k), v[i])])[cell]
+def _table(spark: SparkSession, found: dict[tuple[str, str, str], tuple[float, float]], names: list[str]) -> DataFrame:
+    """The cells as a table of literals, with names for its five columns."""
+    rows = ", ".join(f"({', '.join(map(_quoted, k))}, {v[0]!r}D, {v[1]!r}D)" for k, v in sorted(found.items())) or "('', '', '', 0D, 0D)"
+    return spark.sql(f"VALUES {rows}").toDF(*names)
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def weights(docs: DataFrame, targets: Targets = TARGETS, keep: float = KEEP) -> DataFrame:
     """classed()'s rows with weight, probability and whether the document is kept."""
-    found, cell = probabilities(docs, targets, keep), F.concat_ws("/", "source_class", "lang_class", "topic")
-    out = classed(docs, targets).withColumn("weight", _look_up(found, 0, cell)).withColumn("probability", _look_up(found, 1, cell))
+    cell = ["source_class", "lang_class", "topic"]
+    cells = _table(docs.sparkSession, probabilities(docs, targets, keep), [*cell, "weight", "probability"])
+    out = classed(docs, targets).join(F.broadcast(cells), cell).select("doc_id", *cell, "tokens", "weight", "probability")
     return out.withColumn("kept", spread(F.col("doc_id")) < F.col("probability"))
 
 
 def sample(docs: DataFrame, targets: Targets = TARGETS, keep: float = KEEP) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    found, text = probabilities(docs, targets, keep), F.col("text").cast("string")
-    cell = F.concat_ws("/", _class(F.col("source"), targets[0]), _class(F.col("lang"), targets[1]), topic_of(text))
-    return docs.where(spread(F.col("doc_id").cast("long")) < _look_up(found, 1, cell))
+    names = [fresh(docs, x) for x in ("source_class", "lang_class", "topic", "weight", "probability")]
+    cells = _table(docs.sparkSession, probabilities(docs, targets, keep), names)
+    own = _class(F.col("source"), targets[0]), _class(F.col("lang"), targets[1]), topic_of(F.col("text").cast("string"))
+    rows = docs.withColumns(dict(zip(names, own))).join(F.broadcast(cells), names[:3])
+    return rows.where(spread(F.col("doc_id").cast("long")) < F.col(names[4])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle_sql(targets: Targets = TARGETS, rounds: int = ITERATIONS, keep: float = KEEP) -> str:
@@ -133,16 +159,19 @@ def oracle_sql(targets: Targets = TARGETS, rounds: int = ITERATIONS, keep: float
     step = "SELECT n, source_class, lang_class, topic, w FROM fit WHERE n < " + str(rounds)
     for i, c in enumerate(names):
         step = f"SELECT a.n, a.source_class, a.lang_class, a.topic, a.w * (p.share / (SELECT sum(share) FROM p{i})) / sum(a.w) OVER (PARTITION BY a.{c}) AS w FROM ({step}) a JOIN p{i} p ON p.k = a.{c}"
+    count = lambda m: f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}.0"
+    marks = ", ".join(f"{' + '.join(map(count, m))} AS {topic}" for topic, m in MARKS.items())
+    topic = f"CASE WHEN greatest({', '.join(MARKS)}) * {RATE} < tokens THEN 'prose'" + "".join(f" WHEN {k} = greatest({', '.join(MARKS)}) THEN '{k}'" for k in MARKS) + " END"
     digits = " + ".join(f"(strpos('0123456789abcdef', substr(h, {i + 1}, 1)) - 1) * {16 ** (6 - i)}" for i in range(7))
     present = ", ".join(f"p{i} AS (SELECT t.k, t.share FROM (VALUES {lists[i]}) t(k, share) WHERE t.k IN (SELECT {names[i]} FROM cells))" for i in range(3))
     return f"""
-        WITH RECURSIVE d AS (
-            SELECT doc_id, {own('source', targets[0])} AS source_class, {own('lang', targets[1])} AS lang_class,
-                CASE WHEN contains(text, 'icense') OR contains(text, ' CC BY') THEN 'legal' WHEN contains(text, ' | ') THEN 'table'
-                    WHEN contains(text, '@') OR contains(text, '+1 (') OR contains(text, '://') THEN 'contact' ELSE 'prose' END AS topic,
-                greatest(CAST(ceil(coalesce(octet_length(encode(text)), 0) / 4.0) AS BIGINT), 1) AS tokens,
+        WITH RECURSIVE counted AS (
+            SELECT *, {marks}, greatest(len(regexp_extract_all(t, '{TOKEN}')), 1) AS tokens
+            FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)),
+        d AS (
+            SELECT doc_id, {own('source', targets[0])} AS source_class, {own('lang', targets[1])} AS lang_class, {topic} AS topic, tokens,
                 md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
-            FROM documents),
+            FROM counted),
         cells AS MATERIALIZED (SELECT source_class, lang_class, topic, CAST(sum(tokens) AS DOUBLE) AS own FROM d GROUP BY ALL),
         {present},
         fit AS (
