@@ -2,7 +2,8 @@
 
 A pre-token is a run of non-space characters with a word mark before it. Its tokens are the pieces of the
 vocabulary that cover it at the best total score (unigram model: scores add up; a character that no piece covers
-is one unknown token at a penalty below all scores). The distinct pre-tokens of a run of rows stand in a trie: in
+is one unknown token at a penalty below all scores). A BPE vocabulary holds the order in which its pieces were merged
+and no probabilities: a piece's score is the logarithm of its share by Zipf's law in that order; nothing is trained. The distinct pre-tokens of a run of rows stand in a trie: in
 sorted order a word shares its prefix with the one before it, so the forward scores of the prefix are those that
 are there already, and only the rest is computed. The count at a word's last character is stored as its terminal.
 
@@ -49,12 +50,14 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        """Ordinary pieces of a sentencepiece model, with their scores."""
+        """Ordinary pieces of a sentencepiece BPE model, with the logarithms of their shares by rank."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
-        return cls({model.id_to_piece(i): model.get_score(i) for i in ids})
+        ranked = sorted((-model.get_score(i), model.id_to_piece(i)) for i in ids)
+        total = math.fsum(1 / (r + 1) for r in range(len(ranked)))
+        return cls({p: -math.log((r + 1) * total) for r, (_, p) in enumerate(ranked)})
 
     def step(self, word: str, end: int, best: list[tuple[float, int]]) -> tuple[float, int]:
         """Best score and (negative) number of tokens of word[:end], given those of all shorter prefixes."""
