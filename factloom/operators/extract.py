@@ -1,9 +1,9 @@
 """Facts from source texts (U-01 to U-21): one file row gives many fact rows, row-local, so the plan has no shuffle.
 
 A fact row: file_id, path, language, fact_kind (unit, reference, call, control, decorator, binding, entrypoint,
-resource, diagnostic), id, owner (the unit it belongs to), kind, name, target, start_line, end_line, attrs.
-Python is parsed by the standard library; brace languages by a lexer that masks comments and strings, with
-declaration patterns on top; other texts give line facts only.
+resource, node, edge, diagnostic), id, owner (the unit it belongs to), kind, name, target, start_line, end_line, attrs.
+Nodes and edges are those of the functions' flows. Python is parsed by the standard library, brace languages by the
+statement parser of syntax.py; other texts give line facts only.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.text import split_arguments
+from .flow import PythonStatements, rows
 from .rules import NO_TABLES, SQL_TABLE
+from .syntax import Parser
 
 FACTS = "file_id string, path string, language string, fact_kind string, id string, owner string, kind string, name string, target string, start_line int, end_line int, attrs map<string,string>"
 
@@ -54,41 +57,38 @@ class Facts:
         self.module = re.sub(r"\.[^./]+$", "", path).strip("/").replace("/", "::")
         self.root = self.add("unit", "", "file", self.module, start=1, end=1)
 
+    def put(self, fact: str, id_: str, owner: str, kind: str, name: str, target: str | None, line: int, **attrs: object) -> None:
+        """A row whose id is known."""
+        self.rows.append((*self.file, fact, id_, owner, kind, name, target, line, line, {k: str(v) for k, v in attrs.items() if v is not None}))
+
     def add(self, fact: str, owner: str, kind: str, name: str, target: str | None = None, start: int = 0, end: int = 0, **attrs: object) -> str:
-        id_ = fact_id(self.file[0], fact, owner, kind, name, target, start, end, len(self.rows) if fact != "unit" else "")
+        id_ = fact_id(self.file[0], fact, owner, kind, name, target, start, end, len(self.rows) if fact != "unit" else attrs.get("at", ""))
         self.rows.append((*self.file, fact, id_, owner or None, kind, name, target, start, end, {k: str(v) for k, v in attrs.items() if v is not None}))
         return id_
 
 
+@lru_cache
+def _masked(line_comment: str, block: tuple[str, str], quotes: str) -> re.Pattern:
+    """Comments and strings: one pattern, so that the search runs in C."""
+    parts = [f"{re.escape(line_comment)}[^\\n]*", f"{re.escape(block[0])}.*?(?:{re.escape(block[1])}|\\Z)"]
+    parts += [rf"{q}(?:\\.|[^{q}\\])*(?:{q}|\Z)" if q == "`" else rf"{q}(?:\\.|[^{q}\\\n])*(?:{q}|(?=\n)|\Z)" for q in quotes]
+    return re.compile("|".join(parts), re.S)
+
+
 def mask(text: str, line_comment: str = "//", block: tuple[str, str] = ("/*", "*/"), quotes: str = "\"'`") -> str:
     """Comments and what strings hold become spaces, of the same length; lines stay (F-30)."""
-    out, i, n = list(text), 0, len(text)
-
-    def blank(a: int, b: int) -> None:
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
-
-    while i < n:
-        if text.startswith(line_comment, i):
-            end = text.find("\n", i)
-            end = n if end < 0 else end
-            blank(i, end)
-            i = end
-        elif text.startswith(block[0], i):
-            end = text.find(block[1], i + len(block[0]))
-            end = n if end < 0 else end + len(block[1])
-            blank(i, end)
-            i = end
-        elif text[i] in quotes:
-            q, k = text[i], i + 1
-            while k < n and text[k] != q and (q == "`" or text[k] != "\n"):
-                k += 2 if text[k] == "\\" else 1
-            blank(i + 1, k)
-            i = k + 1
-        else:
-            i += 1
-    return "".join(out)
+
+    def blank(m: re.Match) -> str:
+        found = m[0]
+        if found[0] in quotes and not found.startswith(block[0]):
+            closed = len(found) > 1 and found[-1] == found[0]
+            return found[0] + _INK.sub(" ", found[1 : len(found) - closed]) + (found[0] if closed else "")
+        return _INK.sub(" ", found)
+
+    return _masked(line_comment, tuple(block), quotes).sub(blank, text)
+
+
+_INK = re.compile(r"[^\n]")
 
 
 def sql_facts(facts: Facts, owner: str, literal: str, line: int) -> None:
@@ -107,6 +107,9 @@ class _Python(ast.NodeVisitor):
     def __init__(self, facts: Facts) -> None:
         self.facts, self.owner, self.names, self.classes = facts, facts.root, [facts.module], [False]
         self.assigned: dict[int, str] = {}  # names that calls are assigned to, by node
+        self.calls: dict[int, tuple] = {}  # what a flow shows of a call, by node
+        self.functions: list[tuple[str, list[ast.stmt]]] = []
+        self.defined: set[str] = set()
 
     def _unit(self, node: ast.AST, kind: str, name: str, **attrs: object) -> None:
         full = "::".join([*self.names, name])
@@ -121,6 +124,9 @@ class _Python(ast.NodeVisitor):
                 methods = next((ast.literal_eval(k.value) for k in call.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple))), [verb.upper() if verb in HTTP_VERBS else None])
                 for m in methods:
                     self.facts.add("entrypoint", id_, "webSocket" if verb == "websocket" else "http", name, None, d.lineno, d.lineno, method=m, path=call.args[0].value, receiver=label.rpartition(".")[0])
+        if kind in ("function", "method", "constructor"):
+            self.functions.append((id_, node.body))
+            self.defined.add(name)
         outer = self.owner, self.names, self.classes
         self.owner, self.names, self.classes = id_, [*self.names, name], [*self.classes, kind in ("class", "enum", "interface")]
         for child in ast.iter_child_nodes(node):
@@ -163,10 +169,20 @@ class _Python(ast.NodeVisitor):
         callee = callee if re.fullmatch(r"[\w.]+", callee) else "[dynamic]" + ("." + node.func.attr if isinstance(node.func, ast.Attribute) else "")
         status = "dynamic" if "[" in callee or callee.rpartition(".")[2] in DYNAMIC else "candidate" if "." in callee else "confirmed"
         args = ARGUMENT.join([*(ast.unparse(a) for a in node.args), *(f"{k.arg}={ast.unparse(k.value)}" for k in node.keywords if k.arg)])[:512]
-        self.facts.add("reference", self.owner, "call", callee, callee, node.lineno, node.end_lineno or node.lineno, status=status)
+        id_ = self.facts.add("reference", self.owner, "call", callee, callee, node.lineno, node.end_lineno or node.lineno, status=status)
+        self.calls[id(node)] = ("call", id_, callee, node.lineno, "[" in callee)
         self.facts.add("call", self.owner, "call", callee, None, node.lineno, node.end_lineno or node.lineno, arguments=args, receiver=callee.rpartition(".")[0] or None, assigned=self.assigned.pop(id(node), None))
         self.generic_visit(node)
 
+    def visit_Lambda(self, node: ast.Lambda) -> None:
+        name = f"<lambda@{node.lineno}:{node.col_offset + 1}>"
+        id_ = self.facts.add("unit", self.owner, "lambda", "::".join([*self.names, name]), None, node.lineno, node.end_lineno or node.lineno, parameters=", ".join(a.arg for a in node.args.args) or None)
+        self.functions.append((id_, [ast.copy_location(ast.Return(node.body), node)]))
+        outer = self.owner, self.names, self.classes
+        self.owner, self.names, self.classes = id_, [*self.names, name], [*self.classes, False]
+        self.visit(node.body)
+        self.owner, self.names, self.classes = outer
+
     def visit_Assign(self, node: ast.Assign) -> None:
         if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, (ast.Call, ast.Name, ast.Attribute)):
             value = node.value.func if isinstance(node.value, ast.Call) else node.value
@@ -230,20 +246,12 @@ def python_facts(facts: Facts, text: str) -> None:
     visitor = _Python(facts)
     for node in tree.body:
         visitor.visit(node)
+    unshadowed(facts, visitor.defined)
+    items = PythonStatements(visitor.calls)
+    flow_facts(facts, [(unit, items.body(body)) for unit, body in visitor.functions])
 
 
-_TYPES = re.compile(r"\b(class|interface|struct|enum|trait|impl|record|mixin)\s+(?:<[^>]*>\s*)?([A-Za-z_]\w*)")
-_FUNCTIONS = {
-    "go": re.compile(r"\bfunc\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\([^{};]*\{"),
-    "rust": re.compile(r"\bfn\s+([A-Za-z_]\w*)[^{;]*\{"),
-    "ecma": re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\([^{}]*\)[^{};=]*\{|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)\s*(?::[^={}]+)?=>\s*\{|(?<![.\w])(?:async\s+|static\s+|public\s+|private\s+)*([A-Za-z_$][\w$]*)\s*\([^(){};]*\)\s*(?::[^{};=]+)?\{"),
-    "c": re.compile(r"(?<![.\w@])(?=[A-Za-z_~])(?:[\w:<>,*&\[\]?~]+\s+)+[*&]*([A-Za-z_~]\w*(?:::\w+)?)\s*\([^(){};]*(?:\([^()]*\)[^(){};]*)*\)\s*(?:const|override|noexcept|async|throws\s+[\w, .]+)*\s*\{|(?<![.\w])([A-Z]\w*)\s*\([^(){};]*\)\s*\{"),
-}
 _FAMILY = {"javascript": "ecma", "typescript": "ecma", "java": "c", "csharp": "c", "c": "c", "cpp": "c", "dart": "c", "go": "go", "rust": "rust"}
-_WORDS = set("if for while switch catch return function sizeof typeof new delete throw else do case await super synchronized using lock match loop unsafe fn func defer go select foreach when async".split())
-_CALL = re.compile(r"(?<![\w.$:>])((?:[A-Za-z_$][\w$]*(?:\.|::|->))*[A-Za-z_$][\w$]*)\s*(?:<[\w, ]+>)?\(")
-_CONTROL = re.compile(r"\b(if|for|while|do|switch|match|loop|try|return|throw|break|continue)\b")
-_KIND = {"if": "branch", "for": "loop", "while": "loop", "do": "loop", "loop": "loop", "switch": "switch", "match": "switch"}
 _IMPORT = {
     "ecma": re.compile(r"""^\s*(?:import|export)\b[^'"\n]*?(?:from\s*)?['"]([^'"]+)['"]|\brequire\(\s*['"]([^'"]+)['"]""", re.M),
     "c": re.compile(r"""^\s*#\s*include\s*[<"]([^>"]+)[>"]|^\s*(?:import|using)\s+(?:static\s+)?([\w.*]+)\s*;|^\s*import\s+'([^']+)'""", re.M),
@@ -259,104 +267,110 @@ _ANNOTATION = {
 }
 
 
-def _assigned(code: str, at: int) -> str | None:
-    """The name that the expression at `at` is assigned to, if it is on the same line."""
-    m = re.search(r"([A-Za-z_$][\w$]*)\s*(?::=|=)\s*(?:await\s+|new\s+)?$", code[max(0, code.rfind("\n", 0, at) + 1) : at])
-    return m[1] if m else None
-
-
 def annotation_facts(facts: Facts, text: str, code: str, spans: list[tuple], line: Callable[[int], int]) -> None:
     """Annotations, attributes and decorators with their arguments; each belongs to the next unit, else to the one
     around it (U-12, J-07)."""
     language = facts.file[2]
     starts = sorted(spans)
+    firsts = [s[0] for s in starts]
     for m in _ANNOTATION.get(language, _ANNOTATION["other"]).finditer(text):
         if not code[m.start(1) : m.end(1)].strip():
             continue  # in a comment or string
-        after = next((s for s in starts if s[0] >= m.end()), None)
-        around = [s for s in starts if s[0] <= m.start() <= s[1]]
+        at = bisect_left(firsts, m.end())
+        after = starts[at] if at < len(starts) else None
+        around = [s for s in starts[max(0, at - 200) : at] if s[0] <= m.start() <= s[1]]
         own = after if after and not any(s[1] < after[0] for s in around[-1:]) else around[-1] if around else after
         name = m[1][: -len("Attribute")] if language == "csharp" and m[1].endswith("Attribute") else m[1]
         facts.add("decorator", own[4] if own else facts.root, "decorator", name, None, line(m.start()), line(m.end()), arguments=ARGUMENT.join(split_arguments(m[2] or "")), receiver=name.rpartition(".")[0] or None)
 
 
-def _close(code: str, at: int) -> int:
-    """Place of the brace that closes the one at `at`, or -1."""
-    depth = 0
-    for m in re.finditer(r"[{}]", code[at:]):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return at + m.start()
-    return -1
+class _Sink:
+    """Fact rows of what the statement parser finds."""
+
+    def __init__(self, facts: Facts) -> None:
+        self.facts, self.spans, self.places = facts, [], []  # units by lines and by places in the text
+        self.names: set[str] = set()
+
+    def unit(self, owner: str, kind: str, full: str, start: int, end: int, place: tuple[int, int], **attrs: object) -> str:
+        id_ = self.facts.add("unit", owner, kind, full, None, start, end, at=place[0], **attrs)
+        self.spans.append((start, end, kind, full, id_))
+        self.places.append((*place, kind, full, id_))
+        if kind in ("function", "method", "constructor"):
+            self.names.add(full.rpartition("::")[2])
+        return id_
+
+    def call(self, owner: str, name: str, kind: str, start: int, end: int, arguments: list[str], assigned: str | None) -> str:
+        tail = _TAIL.split(name)[-1].rstrip("!")
+        status = "dynamic" if "[" in name or tail in DYNAMIC else "candidate" if name != tail and not name.endswith("!") else "confirmed"
+        id_ = self.facts.add("reference", owner, kind, name, name, start, end, status=status)
+        self.facts.add("call", owner, kind, name, None, start, end, arguments=ARGUMENT.join(arguments), receiver=name[: -len(tail)].rstrip(".:->") or None if name.endswith(tail) else None, assigned=assigned)
+        return id_
+
+    def control(self, owner: str, kind: str, start: int, end: int, condition: str | None, post: bool) -> None:
+        self.facts.add("control", owner, kind, kind, None, start, end, condition=condition, post_test=post or None)
+
+
+_TAIL = re.compile(r"\.|::|->")
+
+
+def flow_facts(facts: Facts, functions: list[tuple[str, list]]) -> None:
+    """Nodes and edges of the functions' flows (G-08); a call is a boundary where its reference is dynamic."""
+    dynamic = {r[4] for r in facts.rows if r[3] == "reference" and r[11].get("status") == "dynamic"}
+    for unit, items in functions:
+        nodes, edges = rows(unit, items)
+        bounds = {n[0] for n in nodes if n[4] in dynamic}
+        for id_, kind, label, line, reference in nodes:
+            facts.put("node", id_, unit, "dynamicBoundary" if id_ in bounds else kind, label, reference, line)
+        for id_, source, target, kind, label, status in edges:
+            facts.put("edge", id_, unit, kind, label or "", target, 0, source=source, status="dynamic" if target in bounds else status)
+
+
+def unshadowed(facts: Facts, names: set[str]) -> None:
+    """A call of a dynamic name that the file defines itself is a plain one (U-19)."""
+    for i, r in enumerate(facts.rows):
+        if r[3] == "reference" and r[11].get("status") == "dynamic" and "[" not in r[7] and r[7] in names:
+            facts.rows[i] = (*r[:11], r[11] | {"status": "confirmed"})
 
 
 def brace_facts(facts: Facts, text: str) -> None:
     """Units, calls, control flow, imports and SQL of a brace language (U-03 to U-12, U-16 to U-20)."""
     language = facts.file[2]
     family = _FAMILY[language]
-    code = mask(text)
-    breaks = [m.start() for m in re.finditer("\n", text)]
-    line = lambda p: bisect_left(breaks, p) + 1
-    spans: list[tuple[int, int, str, str, str]] = []  # start, end, kind, name, id
-    found = [(m.start(), m.end(), m[1], m[2]) for m in _TYPES.finditer(code)]
-    found += [(m.start(), m.end() - 1, "function", next(g for g in m.groups() if g)) for m in _FUNCTIONS[family].finditer(code)]
-    balanced = code.count("{") == code.count("}")
-    if not balanced:
-        facts.add("diagnostic", facts.root, "warning", "PARSE_ERROR", "unbalanced braces", 1, 1)
-    for start, end, kind, name in sorted(found):
-        if name in _WORDS:
-            continue
-        brace = code.find("{", end)
-        stop = code.find(";", end)
-        if brace < 0 or 0 <= stop < brace:
-            continue
-        close = _close(code, brace)
-        close = len(code) - 1 if close < 0 else close
-        parent = max((s for s in spans if s[0] <= start and close <= s[1]), key=lambda s: s[0], default=None)
-        if kind == "function" and parent and parent[2] in ("class", "interface", "struct", "enum", "trait", "impl", "record", "mixin"):
-            kind = "constructor" if name in (parent[3].rpartition("::")[2], "constructor") else "method"
-        full = f"{parent[3] if parent else facts.module}::{name}"
-        head = re.sub(r"\s+", " ", code[start:brace]).strip()[:512]
-        id_ = facts.add("unit", parent[4] if parent else facts.root, kind, full, None, line(start), line(close), signature=head)
-        spans.append((start, close, kind, full, id_))
+    sink = _Sink(facts)
+    parser = Parser(text, language, sink, facts.root, facts.module)
+    parser.run()
+    line = lambda p: bisect_left(parser.breaks, p) + 1
+    if not parser.balanced:
+        facts.add("diagnostic", facts.root, "warning", "PARSE_ERROR", "unbalanced brackets", 1, 1)
+    for start, _, kind, full, id_ in list(sink.spans):
+        name = full.rpartition("::")[2]
         if name == "main" and kind == "function" and language in ("c", "cpp", "go", "rust", "dart") or name in ("main", "Main") and kind == "method" and language in ("java", "csharp"):
-            facts.add("entrypoint", id_, "main", name, None, line(start), line(start))
-
-    def owner(p: int) -> str:
-        held = [s for s in spans if s[0] < p <= s[1]]
-        return max(held, key=lambda s: s[0])[4] if held else facts.root
-
-    for m in _CALL.finditer(code):
-        name = m[1]
-        tail = re.split(r"\.|::|->", name)[-1]
-        if tail in _WORDS or any(s[0] <= m.start() and m.end() <= code.find("{", s[0]) and s[3].rpartition("::")[2] == tail for s in spans):
-            continue
-        status = "dynamic" if tail in DYNAMIC else "candidate" if name != tail else "confirmed"
-        close = m.end()
-        depth = 1
-        while close < len(code) and depth:
-            depth += {"(": 1, ")": -1}.get(code[close], 0)
-            close += 1
-        args = split_arguments(text[m.end() : close - 1][:512])
-        facts.add("reference", owner(m.start()), "call", name, name, line(m.start()), line(close), status=status)
-        facts.add("call", owner(m.start()), "call", name, None, line(m.start()), line(close), arguments=ARGUMENT.join(args), receiver=name[: -len(tail)].rstrip(".:->") or None, assigned=_assigned(code, m.start()))
-    for m in _CONTROL.finditer(code):
-        facts.add("control", owner(m.start()), _KIND.get(m[1], m[1]), m[1], None, line(m.start()), line(m.start()), post_test=m[1] == "do" or None)
+            facts.add("entrypoint", id_, "main", name, None, start, start)
+    # owner by line: units nest, so the latest to start among those that cover a line is the innermost
+    owners: dict[int, str] = {}
+    for start, end, _, _, id_ in sorted(sink.spans, key=lambda s: (s[0], -s[1])):
+        for n in range(start, min(end, start + 20_000) + 1):
+            owners[n] = id_
+    owner = lambda n: owners.get(n, facts.root)
+    code = mask(text)
     for m in _IMPORT[family].finditer(text):
         target = next((g for g in m.groups() if g), None)
         if target and (code[m.start() : m.end()].strip() or family == "go"):
             facts.add("reference", facts.root, "import", target, target, line(m.start()), line(m.start()), status="candidate")
     if family == "ecma":
         ecma_bindings(facts, text, line)
-    annotation_facts(facts, text, code, spans, line)
-    for m in re.finditer(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`]*)`', text):
-        sql_facts(facts, owner(m.start()), next(g for g in m.groups() if g is not None), line(m.start()))
+    annotation_facts(facts, text, code, sink.places, line)
+    for m in _LITERAL.finditer(text):
+        sql_facts(facts, owner(line(m.start())), next(g for g in m.groups() if g is not None), line(m.start()))
     named: dict[str, list[str]] = {}
-    for s in spans:
+    for s in sink.spans:
         named.setdefault(s[3].rpartition("::")[2], []).append(s[4])
-    line_facts(facts, text, lambda n: owner(breaks[n - 2] + 1 if n > 1 else 0), named)
+    unshadowed(facts, sink.names)
+    flow_facts(facts, parser.functions)
+    line_facts(facts, text, owner, named)
 
 
+_LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`]*)`')
 _BOUND = re.compile(r"""^\s*import\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\*\s*as\s+([A-Za-z_$][\w$]*)\s*|\{([^}]*)\}\s*)?from\s*['"]([^'"]+)['"]""", re.M)
 
 

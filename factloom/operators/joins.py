@@ -84,14 +84,18 @@ def next_asof(points: DataFrame, marks: DataFrame, on: list[str], at: str, when:
     return out
 
 
-def innermost(inner: DataFrame, outer: DataFrame, on: list[str], a: str, b: str, strict: bool = True) -> DataFrame:
+def innermost(inner: DataFrame, outer: DataFrame, on: list[str], a: str, b: str, strict: bool = True, width: int | None = None) -> DataFrame:
     """For each row of `inner` the smallest span of `outer` of the same `on` that contains it (J-05, J-08).
 
-    Both have columns id, start, end. Groups are those of one owner; the join is equi on `on` with the range on top.
+    Both have columns id, start, end. What contains a span contains its start, so the spans are found through bins of
+    `width` (by default the mean length of the outer spans), never by all pairs of an owner.
     """
+    if width is None:
+        mean = outer.agg(F.avg(F.col("end") - F.col("start"))).head()[0]
+        width = max(1, int(mean or 1))
     x = inner.select(*on, F.col("id").alias(a), F.col("start").alias("__s"), F.col("end").alias("__e"))
     y = outer.select(*on, F.col("id").alias(b), F.col("start").alias("__os"), F.col("end").alias("__oe"))
-    held = x.join(y, on).where("__os <= __s and __e <= __oe")
+    held = bin_join(x, y, on, "__s", "__os", "__oe", width).where("__e <= __oe")
     if strict:
         held = held.where("not (__os = __s and __oe = __e)")
     return held.groupBy(*on, a).agg(F.min_by(b, F.struct(F.col("__oe") - F.col("__os"), F.col(b))).alias(b))

@@ -34,7 +34,7 @@ def split_facts(facts: DataFrame) -> dict[str, DataFrame]:
     span = [F.col("start_line"), F.col("end_line")]
     attr = lambda k: F.col("attrs")[k].alias(k)
     return {
-        "units": of("unit").select("file_id", "path", "language", "id", F.col("owner").alias("parent_id"), "kind", F.col("name").alias("qualified_name"), T.last_segment(F.col("name")).alias("name"), *span, attr("signature"), attr("parameters"), attr("types"), attr("bases")),
+        "units": of("unit").select("file_id", "path", "language", "id", F.col("owner").alias("parent_id"), "kind", F.col("name").alias("qualified_name"), T.last_segment(F.col("name")).alias("name"), *span, attr("signature"), attr("parameters"), attr("types"), attr("bases"), attr("returns"), attr("modifiers"), attr("visibility"), F.coalesce(F.lower(F.col("attrs")["exported"]) == "true", F.lit(False)).alias("exported")),
         "references": of("reference").select("file_id", "language", "id", F.col("owner").alias("source_id"), "kind", F.col("target").alias("target_name"), F.coalesce(F.col("attrs")["status"], F.lit("candidate")).alias("status"), *span),
         "entrypoints": of("entrypoint").select("file_id", "path", "id", F.col("owner").alias("unit_id"), "kind", "name", attr("method"), F.col("attrs")["path"].alias("route"), F.col("attrs")["receiver"].alias("receiver"), *span),
         "resources": of("resource").select("file_id", "id", F.col("owner").alias("unit_id"), "kind", "name", attr("mode"), *span),
@@ -42,6 +42,8 @@ def split_facts(facts: DataFrame) -> dict[str, DataFrame]:
         "call_sites": of("call").select("file_id", "id", F.col("owner").alias("unit_id"), F.col("name").alias("callee"), attr("receiver"), attr("arguments"), attr("assigned"), *span),
         "decorators": of("decorator").select("file_id", "id", F.col("owner").alias("unit_id"), "name", attr("receiver"), attr("arguments"), *span),
         "bindings": of("binding").select("file_id", "id", F.col("owner").alias("scope_id"), "kind", F.col("name").alias("local_name"), F.col("target").alias("target_name"), *span),
+        "flow_nodes": of("node").select(F.col("owner").alias("unit_id"), "id", "kind", F.col("name").alias("label"), F.col("start_line").alias("line"), F.col("target").alias("reference_id")),
+        "flow_edges": of("edge").select(F.col("owner").alias("unit_id"), "id", attr("source").alias("source_id"), F.col("target").alias("target_id"), "kind", F.nullif("name", F.lit("")).alias("label"), attr("status")),
         "diagnostics": of("diagnostic").select(F.col("kind").alias("severity"), F.col("name").alias("code"), F.col("target").alias("message"), "path"),
     }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cfg, evaluate, extract, frameworks
+from ..operators import evaluate, extract, frameworks
 from ..plans.analyze import analyze, split_facts
 from ..plans.lens import Lens, with_views
 from ..session import ship
@@ -65,8 +65,12 @@ def analyze_features(lens: Lens) -> DataFrame:
 
 @query()
 def cfg_edges(lens: Lens) -> DataFrame:
-    """G-08: control-flow edges of the project's Python functions."""
-    return cfg.flow_edges(_project(lens)).select("owner", "source_kind", "target_kind", "kind", "line")
+    """G-08, P-21, P-22: control-flow edges of the project's functions, by what they join."""
+    t = split_facts(extract.extract(_project(lens)))
+    nodes = lambda side: t["flow_nodes"].select(F.col("id").alias(f"{side}_id"), F.col("kind").alias(f"{side}_kind"), F.col("label").alias(f"{side}_label"))
+    owner = t["units"].select(F.col("id").alias("unit_id"), F.col("qualified_name").alias("owner"))
+    both = t["flow_edges"].join(nodes("source"), "source_id").join(nodes("target"), "target_id").join(owner, "unit_id")
+    return both.select("owner", "source_kind", "source_label", "target_kind", "target_label", "kind", F.coalesce("label", F.lit("")).alias("label"))
 
 
 #: One file for each of several frameworks.

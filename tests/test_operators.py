@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import paths as P
 from factloom.functions import text as T
-from factloom.operators import budget, cfg, evaluate, extract, gates, graph, joins, rules, validate
+from factloom.operators import budget, evaluate, extract, gates, graph, joins, rules, validate
 from factloom.plans.analyze import analyze
 from factloom.queries.workflows import PROJECT
 from factloom.sources import bundle, config, scan
@@ -192,23 +192,6 @@ def test_broken_and_empty_files():
         assert [r[3] for r in extract.facts_of("1", path, None)] == ["unit"]
 
 
-def edges_of(body):
-    return {(a, b, k) for _, _, _, _, a, _, b, k, _ in cfg.flows_of("1", body)}
-
-
-def test_control_flow():
-    e = edges_of("def f(x):\n  if x:\n    return 1\n  y()\n")
-    assert {("entry", "branch", "next"), ("branch", "return", "true"), ("return", "exit", "return"), ("branch", "statement", "false"), ("statement", "exit", "next")} == e
-    e = edges_of("def f(x):\n  for i in x:\n    if i: break\n    if not i: continue\n    y()\n")
-    assert ("statement", "loop", "loop") in e and ("statement", "exit", "break") in e and ("statement", "loop", "continue") in e
-    e = edges_of("def f():\n  try:\n    raise A\n  except A:\n    g()\n  finally:\n    h()\n")
-    assert ("throw", "handler", "throw") in e and ("statement", "finally", "finally") in e
-    e = edges_of("def f():\n  try:\n    return 1\n  finally:\n    h()\n")
-    assert ("return", "finally", "finally") in e and ("statement", "exit", "return") in e
-    e = edges_of("def f():\n  while True:\n    g()\n")
-    assert not any(b == "exit" for _, b, _ in e)
-
-
 def test_analysis(spark):
     t = analyze(spark.createDataFrame(PROJECT, "file_id string, path string, text string"))
     assert rows(t.domains) == [("orders", 2, "candidate", "medium", 55), ("web", 1, "candidate", "medium", 35)]
