@@ -11,7 +11,7 @@ Only the table of cells reaches the driver, and is broadcast: its size is bounde
 source or language that has no target of its own counts as `other`. A source that holds a third of all rows costs one
 partial sum a task.
 
-Tokens are the runs of letters and digits and the single other signs, counted by a pattern. The topic is the kind of
+Tokens are the words between blanks and the signs on them, counted by what is left without these. The topic is the kind of
 marks (licenses, tables, contacts) that a text has most of, if there is one in every RATE tokens, else prose.
 
 Defined results: null source or language counts as `other`; null and empty texts have one token; categories that
@@ -46,8 +46,8 @@ TOPICS = {"prose": 0.94, "table": 0.02, "legal": 0.02, "contact": 0.02}
 MARKS = {"legal": ("icens", "opyright", "arrant", " CC BY"), "table": (" | ", "\t"), "contact": ("@", "+1 (", "://")}
 RATE = 40
 
-#: A token: letters and digits, or one sign that is neither these nor blank.
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x00-\x20]"
+#: Each of these ends a word or is a token of its own.
+SIGNS = " \t\n\r.,;:!?()[]{}<>|/\\\"'`*_#@%&=+-$^~"
 
 Targets = tuple[Mapping[str, float], Mapping[str, float], Mapping[str, float]]
 TARGETS: Targets = (SOURCES, LANGS, TOPICS)
@@ -70,8 +70,9 @@ def topic_of(text: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    """Tokens by the pattern, one at least."""
-    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long"), F.lit(1).cast("long"))
+    """One token, and one more for each blank or sign."""
+    text = F.coalesce(text, F.lit(""))
+    return (F.length(text) - F.length(F.translate(text, SIGNS, "")) + 1).cast("long")
 
 
 def spread(doc_id: Column) -> Column:
@@ -160,13 +161,14 @@ def oracle_sql(targets: Targets = TARGETS, rounds: int = ITERATIONS, keep: float
     for i, c in enumerate(names):
         step = f"SELECT a.n, a.source_class, a.lang_class, a.topic, a.w * (p.share / (SELECT sum(share) FROM p{i})) / sum(a.w) OVER (PARTITION BY a.{c}) AS w FROM ({step}) a JOIN p{i} p ON p.k = a.{c}"
     count = lambda m: f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}.0"
-    marks = ", ".join(f"{' + '.join(map(count, m))} AS {topic}" for topic, m in MARKS.items())
-    topic = f"CASE WHEN greatest({', '.join(MARKS)}) * {RATE} < tokens THEN 'prose'" + "".join(f" WHEN {k} = greatest({', '.join(MARKS)}) THEN '{k}'" for k in MARKS) + " END"
+    marks = ", ".join(f"{' + '.join(map(count, m))} AS n_{topic}" for topic, m in MARKS.items())
+    most = f"greatest({', '.join(f'n_{k}' for k in MARKS)})"
+    topic = f"CASE WHEN {most} * {RATE} < tokens THEN 'prose'" + "".join(f" WHEN n_{k} = {most} THEN '{k}'" for k in MARKS) + " END"
     digits = " + ".join(f"(strpos('0123456789abcdef', substr(h, {i + 1}, 1)) - 1) * {16 ** (6 - i)}" for i in range(7))
     present = ", ".join(f"p{i} AS (SELECT t.k, t.share FROM (VALUES {lists[i]}) t(k, share) WHERE t.k IN (SELECT {names[i]} FROM cells))" for i in range(3))
     return f"""
         WITH RECURSIVE counted AS (
-            SELECT *, {marks}, greatest(len(regexp_extract_all(t, '{TOKEN}')), 1) AS tokens
+            SELECT *, {marks}, CAST(length(t) - length(translate(t, '{SIGNS.replace("'", "''")}', '')) + 1 AS BIGINT) AS tokens
             FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)),
         d AS (
             SELECT doc_id, {own('source', targets[0])} AS source_class, {own('lang', targets[1])} AS lang_class, {topic} AS topic, tokens,
