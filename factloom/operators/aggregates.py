@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import prefix_join
+
 STATUSES = ["confirmed", "candidate", "unknown", "dynamic"]  # from best to worst
 
 
@@ -104,6 +106,28 @@ def pair_counts(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.where(F.col(a) != F.col(b)).groupBy(F.least(a, b).alias("left_key"), F.greatest(a, b).alias("right_key")).agg(F.count("*").alias("n"))
 
 
+def path_pairs(paths: DataFrame, key: str, path: str) -> DataFrame:
+    """left_key, right_key, path (mean common prefix) and http (share of matching pairs) of all keys whose paths share a
+    first segment, without a pair of paths in sight (A-14, A-15). paths: key, path, without repeats.
+
+    Paths that share a prefix of some depth meet on it, counted by key, prefix and length first: a pair's common prefix
+    is the number of depths at which it meets.
+    """
+    parts = F.split(path, "/")
+    deep = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    counts = paths.select(F.col(key).alias("key"), F.size(parts).alias("length"), F.explode(deep).alias("prefix")).groupBy("key", "prefix", "length").agg(F.count("*").alias("n"))
+    side = lambda df, s: df.select(*[F.col(c).alias(c if c == "prefix" else f"{s}_{c}") for c in df.columns])
+    met = side(counts, "left").join(side(counts, "right"), "prefix").where("left_key < right_key")
+    common = met.groupBy("left_key", "right_key").agg(F.sum(F.col("left_n") * F.col("right_n") / F.greatest("left_length", "right_length")).alias("common"))
+    total = paths.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("all"))
+    own = paths.select(F.col(key).alias("key"), F.col(path).alias("p"))
+    match = prefix_join(own.select(F.col("key").alias("left_key"), F.col("p").alias("l")), own.select(F.col("key").alias("right_key"), F.col("p").alias("r")), "l", "r").where("left_key < right_key")
+    match = match.groupBy("left_key", "right_key").agg(F.count("*").alias("matches"))
+    both = common.join(match, ["left_key", "right_key"], "left").join(side(total, "left"), "left_key").join(side(total, "right"), "right_key")
+    pairs = F.col("left_all") * F.col("right_all")
+    return both.select("left_key", "right_key", (F.col("common") / pairs).alias("path"), (F.coalesce("matches", F.lit(0)) / pairs).alias("http"))
+
+
 def combine(signals: dict[str, Column], weights: dict[str, float]) -> Column:
     """Signals weighted by weights that are scaled to add up to one (A-16)."""
     total = sum(weights.values())

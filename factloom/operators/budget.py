@@ -53,8 +53,9 @@ def split_parts(rows: DataFrame, group: str, order: str, size: str, target: int)
 
 def scan_prefix(rows: DataFrame, order: str, size: str, most: int, budget: int) -> DataFrame:
     """The first `most` rows in order, less those that would exceed the byte budget; those are skipped and the scan
-    goes on (S-02). The fold runs over at most `most` rows, in one task."""
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    goes on (S-02). The fold runs over order and size alone of at most `most` rows, in one task; whole rows don't move."""
+    keys = rows.select(order, size)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in keys.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         used = 0
@@ -66,7 +67,8 @@ def scan_prefix(rows: DataFrame, order: str, size: str, most: int, budget: int)
                 keep.append(fits)
             yield pdf[keep]
 
-    return rows.orderBy(order).limit(most).coalesce(1).sortWithinPartitions(order).mapInPandas(run, kinds)
+    kept = keys.orderBy(order).limit(most).coalesce(1).sortWithinPartitions(order).mapInPandas(run, kinds)
+    return rows.join(kept.select(order), order, "left_semi")
 
 
 def fill_rows(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:

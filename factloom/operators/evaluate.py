@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import canonical_key, contract_identity
+
 
 def domain_findings(actual: DataFrame, must_have: DataFrame, must_not_merge: DataFrame, forbidden: DataFrame) -> DataFrame:
     """finding, subject: expected keys that are missing, keys that sit in one domain but must not, forbidden keys (E-02).
@@ -74,3 +78,72 @@ def two_level_average(rows: DataFrame, project: str, value: str) -> DataFrame:
 def mode_summary(findings: DataFrame, mode: str, finding: str, kinds: list[str]) -> DataFrame:
     """Findings of each kind, by mode (A-31, A-32, E-08)."""
     return findings.groupBy(mode).pivot(finding, kinds).agg(F.count(F.lit(1))).na.fill(0)
+
+
+# Names of folders, which are no domains.
+FOLDERS = ["src", "lib", "app", "apps", "packages", "frontend", "backend", "web", "api", "core", "utils", "common", "python", "rust", "go"]
+
+
+def forbidden_key(key: Column, forbidden: Column) -> Column:
+    """A folder's name, or one that the labels forbid, in any case (P-16)."""
+    return F.lower(key).isin(FOLDERS) | F.coalesce(F.exists(forbidden, lambda f: F.lower(f) == F.lower(key)), F.lit(False))
+
+
+def gold_contract(raw: Column) -> Column:
+    """`GET /x`, `GET:/x` or `/x` as METHOD:/path (F-31)."""
+    text = F.trim(raw)
+    spaced = F.regexp_extract(text, r"^(\S+)\s+(.*)$", 1), F.regexp_extract(text, r"^(\S+)\s+(.*)$", 2)
+    joined = F.regexp_extract(text, r"^([^:/]+):(/.*)$", 1), F.regexp_extract(text, r"^([^:/]+):(/.*)$", 2)
+    none = F.lit(None).cast("string")
+    return F.when(spaced[0] != "", contract_identity(*spaced)).when(joined[0] != "", contract_identity(*joined)).otherwise(contract_identity(none, text))
+
+
+def expanded_keys(expected: DataFrame, aliases: DataFrame) -> DataFrame:
+    """key, name: each expected key under its own name and all its aliases, in lower case (E-11). aliases: key, names."""
+    own = expected.select("key", F.lower("key").alias("name"))
+    more = expected.select("key", F.lower("key").alias("__k")).join(aliases.select(F.lower("key").alias("__k"), F.explode("names").alias("name")), "__k").select("key", F.lower("name").alias("name"))
+    return own.unionByName(more).distinct()
+
+
+def matched_domains(actual: DataFrame, expected: DataFrame, aliases: DataFrame) -> DataFrame:
+    """key, domain: domains of a snapshot by an expected key or one of its aliases (J-25). actual: domain, key."""
+    names = actual.select("domain", F.lower(canonical_key(F.col("key"))).alias("name"))
+    return expanded_keys(expected, aliases).join(names, "name").select("key", "domain").distinct()
+
+
+def matched_contracts(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """expected, contract: contracts of one path whose methods agree, `*` with any (J-25). Both: contract."""
+    cut = lambda rows, c, m, p: rows.select(F.col("contract").alias(c), F.regexp_extract("contract", r"^([^:]*):", 1).alias(m), F.regexp_replace("contract", r"^[^:]*:", "").alias(p))
+    a, b = cut(expected, "expected", "em", "path"), cut(actual, "contract", "am", "path")
+    return a.join(b, "path").where("em = am or em in ('*', 'HTTP') or am in ('*', 'HTTP')").select("expected", "contract")
+
+
+def evaluate_catalog(golds: DataFrame, available: DataFrame, findings: DataFrame) -> DataFrame:
+    """project, findings, status: passed without findings, failed with some, unavailable without a bundle (E-09, E-12).
+
+    golds: project; available: project; findings: project, finding.
+    """
+    n = findings.groupBy("project").agg(F.count("*").alias("findings"))
+    met = golds.select("project").distinct().join(available.select("project", F.lit(True).alias("__has")).distinct(), "project", "left").join(n, "project", "left").na.fill(0, ["findings"])
+    status = F.when(F.col("__has").isNull(), "unavailable").when(F.col("findings") == 0, "passed").otherwise("failed")
+    return met.select("project", "findings", status.alias("status"))
+
+
+def catalog_counts(reports: DataFrame) -> DataFrame:
+    """Passed and failed projects; one that is unavailable has failed (A-32)."""
+    return reports.agg(F.sum(F.when(F.col("status") == "passed", 1).otherwise(0)).alias("passed"), F.sum(F.when(F.col("status") != "passed", 1).otherwise(0)).alias("failed"))
+
+
+def diagnose(golds: DataFrame, wanted: Sequence[str], modes: Sequence[str]) -> DataFrame:
+    """project, path, mode, skipped: what a diagnosis runs, a row a project and mode, and why a project is left out
+    (E-10). golds: project, path, exists."""
+    rows = golds.where(F.col("project").isin(list(wanted))) if wanted else golds
+    why = F.when(F.col("path").isNull(), "no path").when(~F.coalesce("exists", F.lit(False)), "missing directory")
+    return rows.select("project", "path", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"), why.alias("skipped"))
+
+
+def summary_lines(reports: DataFrame) -> DataFrame:
+    """ord, line: what a console shows of a catalog's reports (E-13)."""
+    each = reports.select(F.concat(F.lit("1"), "project").alias("ord"), F.concat_ws(" ", F.upper("status"), "project", F.concat(F.col("findings").cast("string"), F.lit(" findings"))).alias("line"))
+    total = catalog_counts(reports).select(F.lit("2").alias("ord"), F.concat_ws(" ", F.col("passed").cast("string"), F.lit("passed,"), F.col("failed").cast("string"), F.lit("failed")).alias("line"))
+    return each.unionByName(total)

@@ -139,7 +139,7 @@ class _Python(ast.NodeVisitor):
         kind = "enum" if any(b.rpartition(".")[2] in ("Enum", "IntEnum", "StrEnum", "Flag") for b in bases) else "interface" if any(b.rpartition(".")[2].startswith("Protocol") for b in bases) else "class"
         for b in bases:
             self.facts.add("reference", self.owner, "inherits", node.name, b, node.lineno, node.lineno)
-        self._unit(node, kind, node.name, bases=", ".join(bases))
+        self._unit(node, kind, node.name, bases=", ".join(bases) or None)
 
     def _function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
         kind = ("constructor" if node.name == "__init__" else "method") if self.classes[-1] else "function"

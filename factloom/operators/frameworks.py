@@ -1,4 +1,4 @@
-"""Frameworks: detection by markers and manifests, and data-driven rules over facts (X-01 to X-19, J-19 to J-22, S-08).
+"""Frameworks: detection by markers and manifests, and data-driven rules over facts (X-01 to X-19, J-19 to J-22, J-29, J-31, F-33, S-08).
 
 Rules are small tables from this module or from the caller; they are literals or broadcast, as their size is that of
 the configuration. Facts are joined with them by call name, decorator name or file, never pair by pair.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from .extract import ARGUMENT, HTTP_VERBS, mask
-from .graph import fixpoint_prefixes
+from .graph import ancestors, fixpoint_prefixes
 
 # Frameworks with their languages, parent and markers.
 REGISTRY: list[tuple[str, str, str | None, list[str]]] = [
@@ -105,9 +105,9 @@ CALL_ROUTES: list[tuple[str, list[str], list[str], list[str], int, int, str | No
     ("javascript.express", ["ws"], ["express", "Router"], ["app", "router"], 0, -1, "WS", [], "webSocket"),
     ("javascript.fastify", list(HTTP_VERBS), ["fastify"], ["fastify", "app"], 0, -1, None, [], "http"),
     ("javascript.koa", [*HTTP_VERBS, "all"], ["Router"], ["router"], 0, -1, None, [], "http"),
-    ("rust.axum", ["route"], ["new"], ["Router", "app"], 0, 1, "HTTP", ["nest"], "http"),
+    ("rust.axum", ["route"], ["new"], ["Router", "app", ""], 0, 1, "HTTP", ["nest"], "http"),
     ("rust.warp", ["path"], [], ["warp"], 0, -1, "HTTP_FILTER", [], "http"),
-    ("rust.poem", ["at"], ["new"], ["Route", "app"], 0, 1, "HTTP", ["nest"], "http"),
+    ("rust.poem", ["at"], ["new"], ["Route", "app", ""], 0, 1, "HTTP", ["nest"], "http"),
     ("python.django", ["path", "re_path"], [], [""], 0, 1, "HTTP", [], "http"),
     ("python.django_rest_framework", ["register"], ["DefaultRouter", "SimpleRouter"], ["router"], 0, 1, "HTTP", [], "http"),
     ("python.starlette", ["Route", "add_route"], ["Starlette"], ["", "app"], 0, 1, "HTTP", [], "http"),
@@ -186,13 +186,13 @@ def detect(lines: DataFrame, file: str = "file_id") -> DataFrame:
     lines: what code_lines() gives. Names of code count in code alone, paths and packages on import lines.
     """
     content, blank = F.col("content"), F.col("code")
-    imports = content.rlike(r"""^\s*(#\s*include|import\b|from\b|using\b|use\b|export\b|package\b|"|'|const\b.*require|var\b.*require)""")
+    imports = content.rlike(r"""^\s*(#\s*include|import\b|from\b|using\b|use\b|export\b|package\b|"|'|[A-Za-z_.]\w*\s+"|const\b.*require|var\b.*require)""")
     found = []
     for framework, langs, _, marks in REGISTRY:
         hit = None
         for m in marks:
             code = bool(re.search(r"[A-Z(@#:<]", m))  # names of code, against paths and package names
-            one = content.rlike(marker_pattern(m)) & imports
+            one = content.rlike(marker_pattern(m) if code else "(?i)" + marker_pattern(m)) & imports  # paths in any case
             one = one | blank.rlike(marker_pattern(m)) if code else one
             hit = one if hit is None else hit | one
         found.append(F.when(F.col("language").isin(langs.split()) & hit, F.lit(framework)))
@@ -281,9 +281,13 @@ def call_routes(calls: DataFrame, bindings: DataFrame, units: DataFrame, applied
     flat = [(f, m, cs, rs, p, h, fixed, kind) for f, ms, cs, rs, p, h, fixed, _, kind in rules for m in ms]
     table = spark.createDataFrame(flat, "framework string, verb string, constructors array<string>, receivers array<string>, path_at int, handler_at int, fixed string, route_kind string")
     own = calls.select("file_id", "unit_id", "callee", F.coalesce("receiver", F.lit("")).alias("receiver"), _split("arguments").alias("args"), "assigned", "start_line", T.last_segment(F.col("callee")).alias("verb"))
-    made = bindings.where("kind = 'constructor'").select("file_id", F.col("local_name").alias("receiver"), T.last_segment(F.col("target_name")).alias("made"))
-    made = made.unionByName(own.where("assigned is not null").select("file_id", F.col("assigned").alias("receiver"), F.col("verb").alias("made")))
+    made = bindings.where("kind = 'constructor'").select("file_id", F.col("local_name").alias("receiver"), T.last_segment(F.col("target_name")).alias("made"), F.regexp_extract("target_name", r"^(\w+)\.", 1).alias("of"))
+    made = made.unionByName(own.where("assigned is not null").select("file_id", F.col("assigned").alias("receiver"), F.col("verb").alias("made"), F.col("receiver").alias("of")))
     met = own.join(F.broadcast(table), "verb").join(applied, ["file_id", "framework"]).join(made.distinct(), ["file_id", "receiver"], "left")
+    # what a framework's package has made is no other framework's
+    packages = sorted({f.rpartition(".")[2] for f, *_ in rules})
+    source = F.coalesce(F.nullif("of", F.lit("")), "receiver")
+    met = met.where(~source.isin(packages) | (source == F.substring_index("framework", ".", -1)))
     met = met.where(F.array_contains("constructors", F.col("made")) | F.array_contains("receivers", F.col("receiver")) | F.col("made").isin([p for r in rules for p in r[7]]))
     raw = T.string_literal(_arg(F.col("args"), F.col("path_at")))
     met = met.withColumn("raw", raw).where("raw is not null")
@@ -293,10 +297,12 @@ def call_routes(calls: DataFrame, bindings: DataFrame, units: DataFrame, applied
     tops = mounts.select("over").subtract(mounts.select("router")).select(F.col("over").alias("router"), F.lit(None).cast("string").alias("over"), F.lit("").alias("prefix"))
     full = fixpoint_prefixes(mounts.unionByName(tops), "router", "over", "prefix", P.join_paths)
     met = met.withColumn("router", F.concat_ws("\0", "file_id", "receiver")).join(full, "router", "left")
-    met = met.withColumn("name", T.last_segment(F.regexp_extract(F.coalesce(_arg(F.col("args"), F.col("handler_at")), F.lit("")), r"^&?([\w.:]+)$", 1)))
+    handler = F.coalesce(_arg(F.col("args"), F.col("handler_at")), F.lit(""))
+    wrapped = F.regexp_extract(handler, rf"^({'|'.join(HTTP_VERBS)})\(", 1)  # `get(handler)`
+    met = met.withColumn("name", T.last_segment(F.regexp_extract(handler, r"^(?:&|\w+\()?([\w.:]+)\)?$", 1))).withColumn("wrapped", F.nullif(F.upper(wrapped), F.lit("")))
     met = _handlers(met, units, "name")
     verb = F.upper(F.regexp_replace("verb", "^Map", ""))
-    return met.select("file_id", "framework", F.coalesce("handler", "unit_id").alias("unit_id"), F.col("route_kind").alias("kind"), F.coalesce("fixed", verb).alias("method"), P.join_paths(F.coalesce("prefix", F.lit("")), F.col("raw")).alias("path"), F.col("start_line").alias("line")).distinct()
+    return met.select("file_id", "framework", F.coalesce("handler", "unit_id").alias("unit_id"), F.col("route_kind").alias("kind"), F.coalesce("wrapped", "fixed", verb).alias("method"), P.join_paths(F.coalesce("prefix", F.lit("")), F.col("raw")).alias("path"), F.col("start_line").alias("line")).distinct()
 
 
 def decorator_routes(decorators: DataFrame, units: DataFrame, applied: DataFrame, rules: Sequence[tuple] = DECORATORS, controllers: Sequence[str] = CONTROLLERS) -> DataFrame:
@@ -338,9 +344,13 @@ def components(units: DataFrame, decorators: DataFrame, calls: DataFrame, applie
     return words.join(table, "mark").join(applied, ["file_id", "framework"]).select("unit_id", "framework").distinct()
 
 
+# Frameworks whose files are routes.
+PAGES = ["javascript.nextjs", "javascript.nuxt", "javascript.sveltekit", "dart.dart_frog"]
+
+
 def file_routes(files: DataFrame, applied: DataFrame) -> DataFrame:
     """file_id, framework, path of page files (X-11)."""
-    web = files.join(applied, "file_id").where("framework in ('javascript.nextjs', 'javascript.nuxt', 'javascript.sveltekit', 'dart.dart_frog')")
+    web = files.join(applied, "file_id").where(F.col("framework").isin(PAGES))
     inside = F.regexp_extract("path", r"(?:^|/)(?:pages|app|routes|server/routes|server/api)/(.*)$", 1)
     bare = F.regexp_replace(inside, r"(^|/)(page|route|\+page|\+server|\+page\.server)\.[a-z]+$", "$1index.x")
     return web.where(inside != "").select("file_id", "framework", P.file_route(bare).alias("path"))
@@ -374,3 +384,202 @@ def orm_access(calls: DataFrame, models: DataFrame) -> DataFrame:
     mode = F.when(verb.rlike("^(add|create|insert|save|update|delete|merge|bulk_|remove|execute$)"), "write").otherwise("read")
     rows = calls.select("unit_id", mode.alias("mode"), F.explode(words).alias("model"))
     return rows.join(models.select("model", "table").distinct(), "model").groupBy("unit_id", "table").agg(F.max("mode").alias("mode"))
+
+
+def manifest_matches(dependencies: DataFrame) -> DataFrame:
+    """framework, path, language, line of the manifests that name a framework's package (X-02).
+
+    A dependency matches a marker that equals it or one of its leading parts (`github.com/gin-gonic/gin/v2` names
+    `github.com/gin-gonic/gin`); the markers are literals of the plan.
+    """
+    rows = [(f, lang.split()[0], m.lower().rstrip("/")) for f, lang, _, marks in REGISTRY for m in marks if re.fullmatch(r"[@A-Za-z0-9_./-]+", m)]
+    table = dependencies.sparkSession.createDataFrame(rows, "framework string, language string, marker string")
+    low = F.lower("dependency")
+    parts = F.split(low, "[/:]")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    names = F.array_distinct(F.concat(heads, F.array(low, F.element_at(parts, -1))))
+    met = dependencies.select("path", "line", F.explode(names).alias("marker")).join(F.broadcast(table), "marker")  # the registry is bounded
+    return met.groupBy("framework", "path", "language").agg(F.min("line").alias("line"))
+
+
+def framework_ids(detections: DataFrame, file: str = "file_id") -> DataFrame:
+    """Sorted frameworks of each file (J-31)."""
+    return detections.groupBy(file).agg(F.array_sort(F.collect_set("framework")).alias("frameworks"))
+
+
+def module_aliases(units: DataFrame) -> DataFrame:
+    """file_id, module: every suffix of a file's module path by which it may be imported (J-31)."""
+    parts = F.split("qualified_name", "::")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return units.where("kind = 'file'").select("file_id", F.explode(tails).alias("module"))
+
+
+def attach(entrypoints: DataFrame, detections: DataFrame) -> DataFrame:
+    """entrypoints (file_id, id, start_line) with the framework whose marker is nearest in their file (X-03, J-22)."""
+    from .joins import nearest
+
+    best = nearest(entrypoints.select("file_id", "id", "start_line"), detections.select("file_id", "line", "framework"), ["file_id"], "id", "start_line", "line", "framework")
+    return entrypoints.join(best.select("id", "framework"), "id", "left")
+
+
+# Calls that register a handler for a named event.
+EVENTS = ["on", "once", "addEventListener", "addListener", "subscribe", "addHandler"]
+
+
+def call_events(calls: DataFrame, units: DataFrame, names: Sequence[str] = EVENTS) -> DataFrame:
+    """file_id, unit_id, name, line of events that calls register (X-10): the handler that is named owns the event, else
+    the unit around the call. Only a literal is an event's name."""
+    args = _split("arguments")
+    own = calls.where(T.last_segment(F.col("callee")).isin(list(names)) & F.contains("callee", F.lit(".")))
+    own = own.select("file_id", "unit_id", F.col("start_line").alias("line"), T.string_literal(F.get(args, F.lit(0))).alias("event"), F.regexp_extract(F.coalesce(F.get(args, F.lit(1)), F.lit("")), r"^(?:this\.)?([A-Za-z_$][\w$]*)$", 1).alias("name"))
+    met = _handlers(own.where("event is not null"), units, "name")
+    return met.select("file_id", F.coalesce("handler", "unit_id").alias("unit_id"), F.col("event").alias("name"), "line")
+
+
+def qualified_handlers(rows: DataFrame, units: DataFrame, name: str) -> DataFrame:
+    """rows with `handler`: the only unit that `Class::method` in `name` can mean, where some ancestor of the method
+    bears the class's name (J-29)."""
+    tail = F.substring_index(name, "::", -1)
+    head = F.substring_index(F.expr(f"substring({name}, 1, length({name}) - length(substring_index({name}, '::', -1)) - 2)"), "::", -1)
+    named = units.select(F.col("id").alias("unit"), F.col("name").alias("__tail"))
+    chain = ancestors(units.select("id", "parent_id"), "id", "parent_id").where("depth > 0").select(F.col("id").alias("unit"), F.col("ancestor").alias("id"))
+    above = chain.join(units.select("id", F.col("name").alias("__head")), "id").select("unit", "__head").distinct()
+    own = rows.withColumn("__tail", tail).withColumn("__head", F.when(F.contains(F.col(name), F.lit("::")), head))
+    full = units.select(F.col("id").alias("unit"), F.explode(F.array(F.substring_index("qualified_name", "::", -2))).alias("__full"))
+    by_chain = own.where("__head is not null").join(named.select("unit", "__tail"), "__tail").join(above, ["unit", "__head"], "left_semi")
+    by_name = own.where("__head is not null").withColumn("__full", F.concat_ws("::", "__head", "__tail")).join(full, "__full").drop("__full")
+    hits = by_chain.select(*rows.columns, "unit").unionByName(by_name.select(*rows.columns, "unit")).distinct()
+    # a prototype and its definition bear one name: the longer one stands for both
+    hits = hits.join(units.select(F.col("id").alias("unit"), "qualified_name", (F.col("end_line") - F.col("start_line")).alias("__lines")), "unit")
+    one = hits.groupBy(*rows.columns).agg(F.max_by("unit", F.struct("__lines", "unit")).alias("handler"), F.countDistinct("qualified_name").alias("__n")).where("__n = 1").drop("__n")
+    return rows.join(one, rows.columns, "left")
+
+
+# Macros as framework, name, places of handler, path and first method.
+MACROS: list[tuple[str, str, int, int, int]] = [("cpp.drogon", "ADD_METHOD_TO", 0, 1, 2), ("cpp.drogon", "METHOD_ADD", 0, 1, 2), ("cpp.drogon", "PATH_ADD", -1, 0, 1), ("cpp.crow", "CROW_ROUTE", -1, 1, 9), ("cpp.crow", "CROW_BP_ROUTE", -1, 1, 9)]
+
+
+def macro_routes(calls: DataFrame, units: DataFrame, applied: DataFrame, rules: Sequence[tuple] = MACROS) -> DataFrame:
+    """file_id, framework, unit_id, kind, method, path, line of routes that macros declare, a row for each method (X-15).
+
+    Methods stand among the macro's arguments, or in a `.methods(...)` call on the same line; without any it is HTTP.
+    """
+    table = F.broadcast(calls.sparkSession.createDataFrame(list(rules), "framework string, verb string, handler_at int, path_at int, method_at int"))
+    own = calls.select("file_id", "unit_id", "callee", _split("arguments").alias("args"), F.col("start_line").alias("line"), T.last_segment(F.col("callee")).alias("verb"))
+    clean = lambda a: F.upper(F.regexp_replace(F.regexp_replace(a, r"_method$", ""), r"[\"']|.*::", ""))
+    said = own.where("verb = 'methods'").select("file_id", "line", F.transform("args", clean).alias("said"))
+    met = own.join(table, "verb").join(applied, ["file_id", "framework"]).join(said, ["file_id", "line"], "left")
+    verbs = [v.upper() for v in HTTP_VERBS]
+    inside = F.filter(F.transform(F.slice("args", F.col("method_at") + 1, F.lit(100)), clean), lambda m: m.isin(verbs))
+    every = F.when(F.size(inside) > 0, inside).when(F.size(F.coalesce("said", F.array())) > 0, F.col("said")).otherwise(F.array(F.lit("HTTP")))
+    met = met.withColumn("raw", T.string_literal(F.get("args", F.col("path_at")))).where("raw is not null")
+    met = met.withColumn("name", F.when(F.col("handler_at") >= 0, F.regexp_extract(F.coalesce(F.get("args", F.greatest("handler_at", F.lit(0))), F.lit("")), r"^&?([\w:]+)$", 1)).otherwise(F.lit("")))
+    met = met.select("file_id", "framework", "unit_id", "line", "raw", "name", F.explode(every).alias("method"))
+    named = qualified_handlers(met.select("name").where("name != ''").distinct(), units, "name").where("handler is not null")
+    return met.join(named, "name", "left").select("file_id", "framework", F.coalesce("handler", "unit_id").alias("unit_id"), F.lit("http").alias("kind"), "method", P.join_paths(F.lit(""), F.col("raw")).alias("path"), "line")
+
+
+def conventional_routes(units: DataFrame, decorators: DataFrame, applied: DataFrame, framework: str = "csharp.aspnet_mvc") -> DataFrame:
+    """file_id, framework, unit_id, kind, method, path, line of public actions of controllers that declare no route:
+    `/{area}/{controller}/{action}` (X-16). Actions with a verb or route of their own are not conventional."""
+    routed = decorators.where(F.col("name").isin("Route", *[f"Http{v.capitalize()}" for v in HTTP_VERBS]))
+    literal = T.string_literal(F.coalesce(F.get(_split("arguments"), F.lit(0)), F.lit("")))
+    area = decorators.where("name = 'Area'").groupBy(F.col("unit_id").alias("parent_id")).agg(F.max(literal).alias("area"))
+    owner = units.where("kind = 'class'").where(F.endswith("name", F.lit("Controller")) & (F.col("name") != "Controller"))
+    owner = owner.join(routed.select(F.col("unit_id").alias("id")), "id", "left_anti").select(F.col("id").alias("parent_id"), F.regexp_replace("name", "Controller$", "").alias("controller"))
+    actions = units.where("kind = 'method' and visibility = 'public'").join(routed.select(F.col("unit_id").alias("id")), "id", "left_anti")
+    met = actions.select("file_id", "id", "name", "start_line", "parent_id").join(owner, "parent_id").join(area, "parent_id", "left").join(applied.where(F.col("framework") == framework), "file_id")
+    parts = F.array_compact(F.array("area", "controller", "name"))
+    return met.select("file_id", "framework", F.col("id").alias("unit_id"), F.lit("http").alias("kind"), F.lit("HTTP").alias("method"), F.concat(F.lit("/"), F.array_join(parts, "/")).alias("path"), F.col("start_line").alias("line"))
+
+
+def combine_prefix(above: Column, own: Column) -> Column:
+    """A prefix below another; null, which stands for one that is not known before the program runs, stays null (F-33)."""
+    joined = P.join_paths(above, own)
+    return F.when(above.isNull() | own.isNull(), F.lit(None)).when(F.length(own) == 0, above).when(F.length(above) == 0, own).otherwise(joined)
+
+
+# Constructors of routers and applications, calls that mount one on another, their prefix keywords.
+ROUTERS, APPS = ["APIRouter", "Blueprint", "Router"], ["FastAPI", "Flask", "Starlette", "Sanic", "Quart"]
+MOUNTS = ["include_router", "register_blueprint", "blueprint", "mount"]
+
+
+def router_routes(calls: DataFrame, bindings: DataFrame, units: DataFrame, entrypoints: DataFrame) -> DataFrame:
+    """id, path: a row for each mount of the router that an entrypoint's decorator names (X-17).
+
+    Routers are mounted on applications and on each other, in other files too, to any depth; a prefix that is no
+    literal makes the path null. A router that nothing mounts has its own prefix alone.
+    """
+    def keyword(args: Column, *names: str) -> Column:
+        """The value of one of these arguments: the literal, null if it is not known, empty if it is not given."""
+        given = F.get(F.filter(args, lambda a: a.rlike(rf"^\s*({'|'.join(names)})\s*=")), F.lit(0))
+        return F.when(given.isNull(), F.lit("")).otherwise(T.string_literal(F.regexp_replace(given, r"^[^=]*=\s*", "")))
+
+    own = calls.select("file_id", "callee", "receiver", "assigned", _split("arguments").alias("args"), T.last_segment(F.col("callee")).alias("verb"))
+    made = own.where(F.col("assigned").isNotNull() & F.col("verb").isin(ROUTERS + APPS))
+    symbol = lambda f, n: F.concat_ws("\0", f, n)
+    routers = made.select(symbol("file_id", "assigned").alias("router"), keyword(F.col("args"), "prefix", "url_prefix").alias("own"), F.col("verb").isin(APPS).alias("app"))
+    routers = routers.groupBy("router").agg(F.min_by("own", "app").alias("own"), F.max("app").alias("app"))
+    # a mounted name is one of the file, an imported one, or a member of an imported module
+    mounts = own.where(F.col("verb").isin(MOUNTS)).select("file_id", symbol("file_id", F.coalesce("receiver", F.lit(""))).alias("over"), F.get("args", F.lit(0)).alias("name"), keyword(F.col("args"), "prefix", "url_prefix").alias("mounted"))
+    modules = module_aliases(units).withColumnRenamed("file_id", "target_file")
+    bound = bindings.where("kind in ('import', 'alias')").select("file_id", F.col("local_name").alias("head"), F.regexp_replace("target_name", r"^\.+", "").alias("target"))
+    dotted = mounts.withColumn("head", F.regexp_extract("name", r"^\w+", 0)).withColumn("rest", F.regexp_extract("name", r"\.(\w+)$", 1))
+    met = dotted.join(bound, ["file_id", "head"], "left")
+    module = F.when(F.col("rest") != "", F.col("target")).otherwise(F.regexp_replace("target", r"\.[^.]+$", ""))
+    leaf = F.when(F.col("rest") != "", F.col("rest")).otherwise(F.substring_index("target", ".", -1))
+    met = met.withColumn("module", module).join(modules, "module", "left")
+    child = F.when(F.col("target").isNull(), symbol("file_id", "name")).otherwise(symbol("target_file", leaf))
+    links = met.select(child.alias("router"), "over", "mounted").where(F.contains("router", F.lit("\0"))).distinct()
+    links = links.join(routers.select("router", "own"), "router").select("router", "over", combine_prefix(F.col("mounted"), F.col("own")).alias("prefix"))
+    lone = routers.join(links.select("router").distinct(), "router", "left_anti").select("router", F.lit(None).cast("string").alias("over"), F.col("own").alias("prefix"))
+    # a null prefix must not vanish in a join on strings: it is carried as a mark and taken off at the end
+    mark = "\1"
+    lifted = links.unionByName(lone).withColumn("prefix", F.coalesce("prefix", F.lit(mark)))
+    known = lambda c: F.when(~F.contains(c, F.lit(mark)), c)
+    full = fixpoint_prefixes(lifted, "router", "over", "prefix", lambda a, b: F.coalesce(combine_prefix(known(a), known(b)), F.lit(mark)))
+    points = entrypoints.where("receiver is not null and route is not null").select("id", symbol("file_id", "receiver").alias("router"), "route")
+    return points.join(full, "router").select("id", F.when(known(F.col("prefix")).isNull(), F.lit(None)).otherwise(P.join_paths(F.col("prefix"), F.col("route"))).alias("path")).distinct()
+
+
+ROUTE_COLUMNS = ["file_id", "framework", "unit_id", "kind", "method", "path", "line"]
+
+
+def enrich(files: DataFrame, t: dict[str, DataFrame], applied: DataFrame, found: DataFrame) -> DataFrame:
+    """Entrypoints of an analysis with those that frameworks declare, in a fixed order (X-03): what lines show gets the
+    nearest framework; routes of calls, decorators, macros, conventions and files, callbacks, events, services and
+    Python routers follow. A specific row takes the place of the generic one of its file and line (O-06).
+
+    Columns: id, file_id, unit_id, kind, method, path, line, framework.
+    """
+    kind = lambda name: F.lit(name).alias("kind")
+    none = F.lit(None).cast("string")
+    units, calls, marks = t["units"], t["call_sites"], t["decorators"]
+    # a rule of a framework that is nowhere is no part of the plan; the registry bounds the names
+    here = {r.framework for r in found.select("framework").distinct().collect()}
+    rules = [
+        ({r[0] for r in CALL_ROUTES}, lambda: call_routes(calls, t["bindings"], units, applied)),
+        ({r[0] for r in DECORATORS}, lambda: decorator_routes(marks, units, applied)),
+        ({r[0] for r in MACROS}, lambda: macro_routes(calls, units, applied)),
+        ({"csharp.aspnet_mvc"}, lambda: conventional_routes(units, marks, applied)),
+        ({r[0] for r in CALLBACKS}, lambda: callbacks(calls, units, applied).select("file_id", "framework", "unit_id", kind("callback"), none.alias("method"), F.col("name").alias("path"), "line")),
+        ({r[0] for r in RPC}, lambda: rpc_services(calls, applied).select("file_id", "framework", "unit_id", kind("rpc"), none.alias("method"), F.col("service").alias("path"), "line")),
+        (set(PAGES), lambda: file_routes(files, applied).join(units.where("kind = 'file'").select("file_id", F.col("id").alias("unit_id")), "file_id").select("file_id", "framework", "unit_id", kind("http"), F.lit("HTTP").alias("method"), "path", F.lit(1).alias("line"))),
+    ]
+    specific = call_events(calls, units).select("file_id", none.alias("framework"), "unit_id", kind("event"), none.alias("method"), F.col("name").alias("path"), "line")
+    for names, rule in rules:
+        if names & here:
+            specific = specific.unionByName(rule().select(*ROUTE_COLUMNS))
+    generic = attach(t["entrypoints"], found) if here else t["entrypoints"].withColumn("framework", none)
+    path = F.col("route")
+    if any(name.startswith("python.") for name in here):
+        mounted = router_routes(calls, t["bindings"], units, t["entrypoints"]).withColumnRenamed("path", "mounted")
+        generic = generic.join(mounted.withColumn("__hit", F.lit(True)), "id", "left")
+        path = F.when(F.col("__hit"), F.col("mounted")).otherwise(F.col("route"))
+    generic = generic.select("file_id", "framework", "unit_id", "kind", "method", path.alias("path"), F.col("start_line").alias("line"))
+    if here:  # the path of a controller is a prefix, no route (X-07); a line that a rule reads is no generic route
+        heads = marks.where(F.col("name").isin(CONTROLLERS)).join(units.where("kind in ('class', 'interface')").select(F.col("id").alias("unit_id")), "unit_id", "left_semi")
+        taken = specific.where("kind = 'http'").select("file_id", "line").unionByName(heads.select("file_id", F.col("start_line").alias("line"))).distinct()
+        generic = generic.where("kind != 'http'").unionByName(generic.where("kind = 'http'").join(taken, ["file_id", "line"], "left_anti"))
+    out = specific.unionByName(generic).groupBy("file_id", "unit_id", "kind", "method", "path", "line").agg(F.max("framework").alias("framework"))
+    return out.withColumn("id", T.stable_id("entry_", "file_id", "unit_id", "kind", F.coalesce("method", F.lit("")), F.coalesce("path", F.lit("")), F.col("line").cast("string")))

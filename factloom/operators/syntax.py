@@ -663,7 +663,7 @@ class Parser:
         last = name.rpartition("::")[2]
         attrs = {
             "signature": self.header(i, min(brace, j)), "parameters": ", ".join(n for n, _ in params) or None, "types": ", ".join(f"{n}:{k}" for n, k in params if k) or None,
-            "returns": returns, "modifiers": " ".join(seen) or None, "visibility": self.visibility(last, seen), "exported": "export" in seen or "pub" in seen or None,
+            "returns": re.sub(r"\s+", " ", returns) if returns else None, "modifiers": " ".join(seen) or None, "visibility": self.visibility(last, seen), "exported": "export" in seen or "pub" in seen or None,
         }
         scope, _ = self.enter(kind, name, i, min(close + 1, j), **attrs)
         if has:
@@ -852,6 +852,8 @@ class Parser:
                 return None
             k = self.finish(k, j)
             opens = ";"
+        if opens == ";" and self.d.name == "cpp" and last.isupper() and "_" in last:
+            return None  # a macro
         if opens == ";" and typed and self.d.name == "cpp" and self.scope.kind in ("file", "namespace"):
             return k + 1  # a prototype
         if opens == ";" and not held or opens == "=>" and not self.d.arrows:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, details, graph, joining, scalar, windows, workflows  # noqa: F401  (they register themselves)
+from . import aggregation, details, graph, joining, project, scalar, windows, workflows  # noqa: F401  (they register themselves)
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..operators import aggregates as A
 from ..operators import gates as G
 from ..operators import joins as J
+from ..plans import overview
 from ..plans.lens import Lens, with_views
 from .registry import query
 from .scalar import _KEY, bucket_sql, contract_ctes
@@ -133,25 +134,10 @@ _PATH_PAIRS = """, pp AS (SELECT a.host AS left_key, b.host AS right_key, a.path
 
 
 def _path_pairs(lens: Lens) -> DataFrame:
-    """Mean common prefix and share of matching paths of all pairs of host classes, without a pair of paths in sight.
-
-    Paths that share a prefix of some depth meet on it, counted by host, prefix and length first: a pair's common prefix
-    is the number of depths at which it meets.
-    """
+    """Similarities of the paths of host classes."""
     host = F.right(F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.lit(12))
     h = lens.table("pages").select(host.alias("host"), P.contract_path(F.col("url")).alias("path")).where("path is not null").distinct()
-    parts = F.split("path", "/")
-    deep = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    counts = h.select("host", F.size(parts).alias("length"), F.explode(deep).alias("prefix")).groupBy("host", "prefix", "length").agg(F.count("*").alias("n"))
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_key" if c == "host" else c if c == "prefix" else f"{s}_{c}") for c in df.columns])
-    met = side(counts, "left").join(side(counts, "right"), "prefix").where("left_key < right_key")
-    common = met.groupBy("left_key", "right_key").agg(F.sum(F.col("left_n") * F.col("right_n") / F.greatest("left_length", "right_length")).alias("common"))
-    total = h.groupBy("host").agg(F.count("*").alias("all"))
-    match = J.prefix_join(h.select(F.col("host").alias("left_key"), F.col("path").alias("l")), h.select(F.col("host").alias("right_key"), F.col("path").alias("r")), "l", "r").where("left_key < right_key")
-    match = match.groupBy("left_key", "right_key").agg(F.count("*").alias("matches"))
-    both = common.join(match, ["left_key", "right_key"], "left").join(side(total, "left"), "left_key").join(side(total, "right"), "right_key")
-    pairs = F.col("left_all") * F.col("right_all")
-    return both.select("left_key", "right_key", (F.col("common") / pairs).alias("path"), (F.coalesce("matches", F.lit(0)) / pairs).alias("http"))
+    return A.path_pairs(h, "host", "path")
 
 
 @query(_PATHS + _PATH_PAIRS + " SELECT left_key, right_key, round(path, 6) AS path FROM sim")
@@ -301,14 +287,15 @@ def overlap(lens: Lens) -> DataFrame:
 @query("SELECT round(count(*) FILTER (quality = 1) / CAST(count(*) AS DOUBLE), 6) AS good, round(count(*) FILTER (toxic = 1) / CAST(count(*) AS DOUBLE), 6) AS toxic, count(DISTINCT doc_id) AS documents, count(*) AS labels FROM labels")
 def project_profile(lens: Lens) -> DataFrame:
     """A-25, A-26."""
-    share = lambda c: F.round(F.sum(F.when(c, 1).otherwise(0)) / F.count("*"), 6)
-    return lens.table("labels").agg(share(F.col("quality") == 1).alias("good"), share(F.col("toxic") == 1).alias("toxic"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("labels"))
+    labels = lens.table("labels").select("doc_id", F.lit(1).alias("all"), F.when(F.col("quality") == 1, 1).otherwise(0).alias("good"), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"))
+    ratios = overview.project_profile(labels, "all", ["good", "toxic"]).select(F.round("good", 6).alias("good"), F.round("toxic", 6).alias("toxic"))
+    return ratios.crossJoin(overview.global_summary(labels, "doc_id", "all").select(F.col("units").alias("documents"), F.col("memberships").alias("labels")))  # one row each
 
 
-@query(with_views("refs", """SELECT s_nationkey AS candidate, CAST(sum(CASE status WHEN 'confirmed' THEN 4 WHEN 'candidate' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END) AS BIGINT) AS weight FROM refs JOIN supplier ON supplier = s_suppkey WHERE target IN (SELECT p_partkey FROM part WHERE p_size < 5) GROUP BY 1"""))
+@query(with_views("refs", """SELECT s_nationkey AS candidate, CAST(sum(CASE status WHEN 'confirmed' THEN 3 WHEN 'candidate' THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM refs JOIN supplier ON supplier = s_suppkey WHERE target IN (SELECT p_partkey FROM part WHERE p_size < 5) GROUP BY 1"""))
 def connection_weight(lens: Lens) -> DataFrame:
     """A-27: status weights of the edges into a partition, by candidate."""
     inside = lens.table("part").where("p_size < 5").select(F.col("p_partkey").alias("target"))
-    weight = F.when(F.col("status") == "confirmed", 4).when(F.col("status") == "candidate", 2).when(F.col("status") == "unknown", 1).otherwise(0)
-    rows = lens.refs().join(inside, "target", "left_semi").groupBy("supplier").agg(F.sum(weight).alias("w"))
-    return rows.join(lens.table("supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("candidate")), "supplier").groupBy("candidate").agg(F.sum("w").alias("weight"))
+    supplier = lens.table("supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("candidate"))
+    rows = lens.refs().join(inside, "target", "left_semi").groupBy("supplier", "status").agg(F.count("*").alias("n"))
+    return overview.connection_weight(rows.join(supplier, "supplier"), "candidate", "status", "n").withColumnRenamed("connection", "weight")

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import budget as B
 from ..operators import evaluate, frameworks, gates, graph, joins, rules, validate
+from ..plans import overview
 from ..plans.lens import Lens, with_views
 from .registry import query
 
@@ -95,10 +96,10 @@ def ancestor_domains(lens: Lens) -> DataFrame:
     return met.groupBy("unit").agg(F.min_by("domain", F.when(F.col("domain").isNotNull(), F.col("depth"))).alias("domain"))
 
 
-@query(with_views("members", "SELECT o_orderkey AS feature, list_sort(list(DISTINCT domain)) AS domains FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey FROM lineitem) JOIN members ON l_partkey = unit WHERE o_orderkey % 50 = 0 GROUP BY 1"))
+@query(with_views("members", "SELECT o_orderkey AS feature, list_sort(list(DISTINCT domain)) AS domains FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey FROM lineitem) JOIN members ON l_partkey = unit GROUP BY 1"))
 def feature_domains(lens: Lens) -> DataFrame:
-    """J-16: domains of features through the ids they hold; every fiftieth order is a feature of this lens."""
-    ids = lens.table("lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("feature"), F.col("l_partkey").alias("unit")).distinct()
+    """J-16: domains of features through the ids they hold; every order is a feature of this lens."""
+    ids = lens.table("lineitem").select(F.col("l_orderkey").alias("feature"), F.col("l_partkey").alias("unit")).distinct()
     return ids.join(lens.members(), "unit").groupBy("feature").agg(F.array_sort(F.collect_set("domain")).alias("domains"))
 
 
@@ -125,16 +126,18 @@ def canonical_ids(lens: Lens) -> DataFrame:
     return gates.merge_groups(lens.table("customer").select("c_custkey", F.col("c_nationkey").alias("domain")), mapping, "domain").select("c_custkey", "domain")
 
 
-@query("SELECT o_orderpriority AS framework, count(DISTINCT o_custkey) AS files, CAST(round(least(0.99, 0.65 + 0.05 * count(DISTINCT o_custkey)), 2) AS DOUBLE) AS confidence FROM orders WHERE o_orderkey < 40 GROUP BY 1")
+@query("SELECT o_custkey || '/' || o_orderpriority AS framework, count(DISTINCT o_orderkey) AS files, CAST(round(least(0.99, 0.65 + 0.05 * count(DISTINCT o_orderkey)), 2) AS DOUBLE) AS confidence FROM orders GROUP BY 1")
 def detection_confidence(lens: Lens) -> DataFrame:
-    """A-34, over a lens of the first orders."""
-    return frameworks.confidence(lens.table("orders").where("o_orderkey < 40").select(F.col("o_orderpriority").alias("framework"), F.col("o_custkey").alias("file_id")))
+    """A-34, with a customer's priorities as frameworks, which have few files each."""
+    name = F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority")
+    return frameworks.confidence(lens.table("orders").select(name.alias("framework"), F.col("o_orderkey").alias("file_id")))
 
 
 @query("SELECT c_nationkey AS domain, count(*) AS units, round(sum(c_acctbal), 2) AS balance, list_sort(list(DISTINCT c_mktsegment))[1:8] AS signals FROM customer GROUP BY 1")
 def domain_cards(lens: Lens) -> DataFrame:
     """A-35."""
-    return lens.table("customer").groupBy(F.col("c_nationkey").alias("domain")).agg(F.count("*").alias("units"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.slice(F.array_sort(F.collect_set("c_mktsegment")), 1, 8).alias("signals"))
+    rows = lens.table("customer").select(F.col("c_nationkey").alias("domain"), "c_custkey", F.col("c_acctbal").alias("balance"), "c_mktsegment")
+    return overview.domain_cards(rows, "domain", "c_custkey", "balance", "c_mktsegment").withColumn("balance", F.round("balance", 2))
 
 
 @query("""WITH p AS (SELECT a.n_nationkey AS l, b.n_nationkey AS r, true AS positive FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)

@@ -110,15 +110,16 @@ def unassigned_units(lens: Lens) -> DataFrame:
 @query(
     with_views(
         "spans",
-        f""", e AS (SELECT event_id, user_id AS owner, {_EVENT_DAY} AS pos FROM events)
-    SELECT event_id, id FROM (SELECT event_id, id, row_number() OVER (PARTITION BY event_id ORDER BY start DESC, "end", id) AS rn
-        FROM e JOIN spans USING (owner) WHERE pos + 2920 BETWEEN start AND "end") WHERE rn = 1""",
+        """, e AS (SELECT o_orderkey AS point, o_custkey AS owner, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 40 AS pos FROM orders)
+    SELECT point, id FROM (SELECT point, id, row_number() OVER (PARTITION BY point ORDER BY start DESC, "end", id) AS rn
+        FROM e JOIN spans USING (owner) WHERE pos BETWEEN start AND "end") WHERE rn = 1""",
     )
 )
 def stab_line(lens: Lens) -> DataFrame:
-    """J-06: the latest-starting span that covers a point."""
-    points = lens.table("events").select("event_id", F.col("user_id").alias("owner"), (_event_day() + 2920).alias("at"))
-    return J.latest_stab(points, lens.spans(), ["owner"], "event_id", "at", "id", "start", "end", 64).select("event_id", "id")
+    """J-06: the latest-starting span that covers a point, up to forty days after each order; most points lie in one."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    points = lens.table("orders").select(F.col("o_orderkey").alias("point"), F.col("o_custkey").alias("owner"), (day + F.col("o_orderkey") % 40).alias("at"))
+    return J.latest_stab(points, lens.spans(), ["owner"], "point", "at", "id", "start", "end", 64).select("point", "id")
 
 
 @query(
@@ -183,13 +184,13 @@ def relative_module(lens: Lens) -> DataFrame:
     return J.relative_module(imports, files, "target", "path", ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts"])
 
 
-@query("""WITH d AS (SELECT o_orderkey AS file, o_orderstatus AS language, CASE WHEN o_orderstatus = 'P' THEN 'only' ELSE o_orderpriority END AS framework FROM orders WHERE o_orderkey % 5 = 0),
+@query("""WITH d AS (SELECT o_orderkey AS file, o_orderstatus AS language, CASE WHEN o_orderstatus = 'P' THEN 'only' ELSE o_orderpriority END AS framework FROM orders WHERE o_orderpriority <> '5-LOW'),
     l AS (SELECT file, min(framework) AS f FROM d GROUP BY file), a AS (SELECT language, min(framework) AS f FROM d GROUP BY language HAVING count(DISTINCT framework) = 1)
     SELECT o_orderkey AS file, o_orderstatus AS language, coalesce(l.f, a.f) AS framework FROM orders LEFT JOIN l ON l.file = o_orderkey LEFT JOIN a ON a.language = o_orderstatus""")
 def applicable_framework(lens: Lens) -> DataFrame:
     """J-21: evidence in the file decides, else the language's only detection."""
     orders = lens.table("orders").select(F.col("o_orderkey").alias("file"), F.col("o_orderstatus").alias("language"), "o_orderpriority")
-    found = orders.where("file % 5 = 0").select("file", "language", F.when(F.col("language") == "P", "only").otherwise(F.col("o_orderpriority")).alias("framework"))
+    found = orders.where("o_orderpriority != '5-LOW'").select("file", "language", F.when(F.col("language") == "P", "only").otherwise(F.col("o_orderpriority")).alias("framework"))
     return J.applicable(orders.select("file", "language"), found, "file", "language", "framework")
 
 

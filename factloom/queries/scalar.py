@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import rules
+from ..operators import budget as B
 from ..plans.lens import Lens, with_views
 from .registry import query
 
@@ -53,10 +54,13 @@ def scan_inventory(lens: Lens) -> DataFrame:
     return lens.files().where(F.col("size") <= 10485760).select("doc_id", "path", "language", "size", "lines", F.sha2("text", 256).alias("content_hash"))
 
 
-@query(with_views("files", "SELECT path, size FROM (SELECT path, size, row_number() OVER (ORDER BY path) AS rn FROM files) WHERE rn <= 100"))
+@query(with_views("files", """, o AS (SELECT path, size, row_number() OVER (ORDER BY path) AS rn FROM files),
+    w AS (SELECT path, size, rn, size <= 100000 AS taken, CASE WHEN size <= 100000 THEN size ELSE 0 END AS used FROM o WHERE rn = 1
+        UNION ALL SELECT o.path, o.size, o.rn, w.used + o.size <= 100000, w.used + CASE WHEN w.used + o.size <= 100000 THEN o.size ELSE 0 END FROM w JOIN o ON o.rn = w.rn + 1 WHERE o.rn <= 100)
+    SELECT path, size FROM w WHERE taken""", recursive=True))
 def scan_limit_prefix(lens: Lens) -> DataFrame:
-    """S-02: the first files by path, up to the limit on their number (a top-k)."""
-    return lens.files().select("path", "size").orderBy("path").limit(100)
+    """S-02: the first files by path, up to the limits on their number and their bytes; what would go beyond is skipped."""
+    return B.scan_prefix(lens.files().select("path", "size"), "path", "size", 100, 100_000)
 
 
 @query(with_views("files", "SELECT path, CASE WHEN language = 'en' THEN 'English' WHEN language = 'fr' THEN 'French' WHEN language = 'de' THEN 'German' ELSE 'unknown' END AS name FROM files"))

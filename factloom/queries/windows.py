@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import aggregates as A
 from ..operators import budget as B
+from ..operators import flow as W
 from ..operators import gates as G
+from ..plans import overview
 from ..plans.lens import Lens, with_views
 from .aggregation import _LEX, _lexical
 from .registry import query
@@ -39,22 +41,19 @@ def top_terms(lens: Lens) -> DataFrame:
 @query("SELECT event_id, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS next FROM events")
 def next_in_region(lens: Lens) -> DataFrame:
     """W-03."""
-    return lens.table("events").select("event_id", F.lead("event_id").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).alias("next"))
+    return W.next_in_region(lens.table("events"), "event_id", ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "next")
 
 
 @query("SELECT a.event_id, min(b.event_id) AS follower FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.event_id > a.event_id WHERE a.event_type = 'click' GROUP BY a.event_id")
 def first_after(lens: Lens) -> DataFrame:
     """W-04: the first event of one kind after an event of another, by one window over both."""
-    rows = lens.table("events").where(F.col("event_type").isin("click", "purchase"))
-    later = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
-    found = rows.withColumn("follower", F.first(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(later))
-    return found.where("event_type = 'click'").select("event_id", "follower")
+    return W.first_after(lens.table("events"), "user_id", "event_id", F.col("event_type") == "click", F.col("event_type") == "purchase")
 
 
 @query(with_views("turns", "SELECT flow, node, lead(node) OVER (PARTITION BY flow ORDER BY node) AS successor FROM turns"))
 def successor(lens: Lens) -> DataFrame:
     """W-12, J-09: the node after each node of a flow."""
-    return lens.turns().select("flow", "node", F.lead("node").over(Window.partitionBy("flow").orderBy("node")).alias("successor"))
+    return W.next_in_region(lens.turns().select("flow", "node"), "node", ["flow"], ["node"]).withColumnRenamed("next", "successor")
 
 
 @query(with_views("turns", """, f AS (SELECT flow, count(*) AS n FROM turns GROUP BY flow), b AS (SELECT flow, n, coalesce(sum(n) OVER (ORDER BY flow ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
@@ -94,10 +93,10 @@ def part_split(lens: Lens) -> DataFrame:
     return B.split_parts(lens.files().select("source", "path", "size"), "source", "path", "size", 20000).select("path", "part")
 
 
-@query(with_views("turns", "SELECT flow, string_agg(role, '>' ORDER BY node) AS steps FROM (SELECT flow, node, role, row_number() OVER (PARTITION BY flow, role ORDER BY node) AS rn FROM turns WHERE node < 6) WHERE rn = 1 GROUP BY flow"))
+@query(with_views("turns", "SELECT flow, string_agg(role, '>' ORDER BY node) AS steps FROM (SELECT flow, node, role, row_number() OVER (PARTITION BY flow, role ORDER BY node) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY node) AS place FROM turns WHERE role <> '') WHERE place <= 6) WHERE rn = 1 GROUP BY flow"))
 def meaningful_steps(lens: Lens) -> DataFrame:
     """T-09: the first steps of a flow, each label once, in order."""
-    rows = lens.turns().where("node < 6").groupBy("flow", "role").agg(F.min("node").alias("node"))
+    rows = overview.meaningful_steps(lens.turns(), "flow", "node", "role", 6)
     return rows.groupBy("flow").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "role"))), lambda s: s["role"]), ">").alias("steps"))
 
 
@@ -105,7 +104,7 @@ def meaningful_steps(lens: Lens) -> DataFrame:
 def feature_priority(lens: Lens) -> DataFrame:
     """T-07."""
     a = F.col("amount")
-    return lens.members().select("unit", "domain", (F.when(a > 5000000, 100).when(a > 1000000, 60).otherwise(40) + F.least(F.floor(a / 100000), F.lit(100))).alias("priority"))
+    return lens.members().select("unit", "domain", overview.feature_priority(F.floor(a / 100000), (a > 5000000).cast("int"), (a > 1000000).cast("int")).alias("priority"))
 
 
 @query()
@@ -129,7 +128,11 @@ def clustering(lens: Lens) -> DataFrame:
     return G.cluster_partitions(pairs, s, "nation", 0.05, 8)
 
 
-@query()
+@query(with_views("files", """, c AS (SELECT source, doc_id AS id, size, size > 20000 AS required, doc_id % 100 AS priority FROM files),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY required DESC, floor(priority * 1000000 / greatest(size, 1)) DESC, priority DESC, id) AS rn FROM c WHERE required OR size <= 60000),
+    w AS (SELECT source, id, size, required, priority, rn, true AS taken, size AS used FROM o WHERE rn = 1
+        UNION ALL SELECT o.source, o.id, o.size, o.required, o.priority, o.rn, o.required OR w.used + o.size <= 60000, w.used + CASE WHEN o.required OR w.used + o.size <= 60000 THEN o.size ELSE 0 END FROM w JOIN o ON o.source = w.source AND o.rn = w.rn + 1)
+    SELECT source, id, size, required, priority FROM w WHERE taken""", recursive=True))
 def budget_fill(lens: Lens) -> DataFrame:
     """B-03: the files of each source that fit a budget, best value first; large texts are required."""
     rows = lens.files().select("source", F.col("doc_id").alias("id"), "size", (F.col("size") > 20000).alias("required"), (F.col("doc_id") % 100).alias("priority"))

@@ -5,35 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, extract, frameworks
-from ..plans.analyze import analyze, split_facts
+from ..operators import evaluate, extract
 from ..plans.lens import Lens, with_views
 from ..session import ship
 from ..streaming import incremental
 from .registry import query
 
-#: A small project in three languages.
-PROJECT = [
-    ("f1", "src/orders/api.py", 'from fastapi import FastAPI\nfrom src.orders.store import Store\n\napp = FastAPI()\n\n\n@app.get("/api/v1/orders/{id}")\ndef read(id: int):\n    store = Store()\n    return store.load(id)\n\n\n@app.post("/orders")\ndef create(body):\n    if not body:\n        raise ValueError("empty")\n    return save_order(body)\n\n\ndef save_order(body):\n    return Store().save(body)\n'),
-    ("f2", "src/orders/store.py", 'class Store:\n    def load(self, id):\n        return self.run("SELECT * FROM orders WHERE id = 1")\n\n    def save(self, body):\n        for line in body:\n            self.run("INSERT INTO order_lines VALUES (1)")\n        return True\n\n    def run(self, sql):\n        try:\n            return eval(sql)\n        finally:\n            print(sql)\n'),
-    ("f3", "web/client.ts", "import { get } from './http';\nexport async function loadOrder(id) {\n  return await get('/api/v1/orders/' + id);\n}\nrouter.get('/health', loadOrder);\n"),
-    ("f4", "web/http.ts", "export function get(path) { return fetch(path); }\n"),
-    ("f5", "cmd/main.go", 'package main\n\nfunc helper(a int) int { return a }\n\nfunc main() { helper(1) }\n'),
-    ("f6", "src/broken.py", "def broken(:\n"),
-]
-
-
-def _project(lens: Lens) -> DataFrame:
-    ship(lens.spark)
-    return lens.spark.createDataFrame(PROJECT, "file_id string, path string, text string")
-
-
-@query()
-def extract_facts(lens: Lens) -> DataFrame:
-    """U-01 to U-21: fact rows of a small project."""
-    return extract.extract(_project(lens)).select("path", "fact_kind", "kind", "name", "target", "start_line", "end_line")
-
-
 @query()
 def extract_documents(lens: Lens) -> DataFrame:
     """U-01, U-11, U-13 over all documents as plain text files: line facts and statements, counted by kind."""
@@ -42,84 +19,6 @@ def extract_documents(lens: Lens) -> DataFrame:
     return extract.extract(files).groupBy("fact_kind", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
-def analyze_domains(lens: Lens) -> DataFrame:
-    """The main query over a small project: domains with their score."""
-    return analyze(_project(lens)).domains
-
-
-@query()
-def analyze_references(lens: Lens) -> DataFrame:
-    """J-01 to J-04: references of a small project, resolved."""
-    t = analyze(_project(lens))
-    units = t.units.select(F.col("id").alias("target_id"), "qualified_name")
-    return t.references.join(units, "target_id", "left").select("file_id", "kind", "target_name", "qualified_name", "status", "start_line")
-
-
-@query()
-def analyze_features(lens: Lens) -> DataFrame:
-    """A-22, C-12: entrypoints with the edges of all that they reach."""
-    t = analyze(_project(lens))
-    return t.contracts.select(F.col("unit_id").alias("root"), "contract").join(t.features, "root", "left").select("contract", "resolved", "unresolved", "dynamic")
-
-
-@query()
-def cfg_edges(lens: Lens) -> DataFrame:
-    """G-08, P-21, P-22: control-flow edges of the project's functions, by what they join."""
-    t = split_facts(extract.extract(_project(lens)))
-    nodes = lambda side: t["flow_nodes"].select(F.col("id").alias(f"{side}_id"), F.col("kind").alias(f"{side}_kind"), F.col("label").alias(f"{side}_label"))
-    owner = t["units"].select(F.col("id").alias("unit_id"), F.col("qualified_name").alias("owner"))
-    both = t["flow_edges"].join(nodes("source"), "source_id").join(nodes("target"), "target_id").join(owner, "unit_id")
-    return both.select("owner", "source_kind", "source_label", "target_kind", "target_label", "kind", F.coalesce("label", F.lit("")).alias("label"))
-
-
-#: One file for each of several frameworks.
-SERVICES = [
-    ("s1", "cmd/main.go", 'package main\nimport "github.com/gin-gonic/gin"\nfunc list(c int) { x() }\nfunc main() {\n\tr := gin.Default()\n\tv1 := r.Group("/v1")\n\tv1.GET("/users/:id", list)\n}\n'),
-    ("s2", "web/app.js", "import express from 'express';\nfunction home(req, res) { res.send(1); }\nconst site = express();\nsite.get('/home', home);\n"),
-    ("s3", "api/app.py", "from django.urls import path\nfrom django.db import models\n\nclass OrderLine(models.Model):\n    pass\n\ndef show(request):\n    return OrderLine.objects.filter(id=1)\n\nurlpatterns = [path('orders/', show)]\n"),
-    ("s4", "src/Users.java", 'import org.springframework.web.bind.annotation.GetMapping;\n@RestController\n@RequestMapping("/users")\nclass Users {\n  @GetMapping("/{id}")\n  String read(String id) { return find(id); }\n}\n'),
-    ("s5", "src/ui.c", '#include <gtk/gtk.h>\nvoid on_click(void) { go(); }\nint main(void) { g_signal_connect(button, "clicked", G_CALLBACK(on_click), 0); return 0; }\n'),
-]
-
-
-def _services(lens: Lens) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    ship(lens.spark)
-    files = lens.spark.createDataFrame([(f, p, extract.language_of(p), t) for f, p, t in SERVICES], "file_id string, path string, language string, text string")
-    found = frameworks.detect(frameworks.code_lines(files))
-    return split_facts(extract.extract(files)), found, frameworks.applies(files, found)
-
-
-@query()
-def framework_detection(lens: Lens) -> DataFrame:
-    """X-01, A-34, S-08: frameworks by markers in code."""
-    _, found, _ = _services(lens)
-    return found.join(frameworks.confidence(found), "framework").select("framework", "file_id", "line", "confidence")
-
-
-@query()
-def framework_routes(lens: Lens) -> DataFrame:
-    """X-04 to X-07, X-18, J-19 to J-21: routes by calls and decorators."""
-    t, _, applied = _services(lens)
-    cols = ["file_id", "framework", "kind", "method", "path", "line"]
-    return frameworks.call_routes(t["call_sites"], t["bindings"], t["units"], applied).select(cols).unionByName(frameworks.decorator_routes(t["decorators"], t["units"], applied).select(cols))
-
-
-@query()
-def framework_callbacks(lens: Lens) -> DataFrame:
-    """X-08: functions registered as callbacks."""
-    t, _, applied = _services(lens)
-    return frameworks.callbacks(t["call_sites"], t["units"], applied).select("file_id", "framework", "name", "line")
-
-
-@query()
-def framework_models(lens: Lens) -> DataFrame:
-    """X-19: model classes and the calls that touch them."""
-    t, _, applied = _services(lens)
-    models = frameworks.orm_tables(t["units"], applied)
-    return frameworks.orm_access(t["call_sites"], models).select("table", "mode")
-
-
 _GOLD = """, a AS (SELECT DISTINCT bucket AS domain, key FROM (SELECT page_id % 4 AS bucket, split_part(replace(replace(url, 'https://', ''), 'http://', ''), '/', 2) AS key FROM pages)),
     m AS (SELECT * FROM (VALUES ('en'), ('fr'), ('xx')) t(key)), n AS (SELECT 'en' AS left_key, 'de' AS right_key), f AS (SELECT 'es' AS key)"""
 

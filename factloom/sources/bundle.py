@@ -22,7 +22,7 @@ def write_bundle(spark: SparkSession, tables: dict[str, DataFrame], folder: str,
     """Write each table as JSON lines in parts of about `target` bytes, then the manifest, then move all in place.
 
     Rows are numbered into parts within `buckets` hash groups of their key, so the running sum is no single task on a
-    large table. A record is never split. A failed run leaves an unfinished folder aside and the old bundle as it was.
+    large table. A record is never split. A failed run leaves an unfinished folder beside and the old bundle as it was.
     """
     stage = f"{folder.rstrip('/')}.{uuid.uuid4().hex[:8]}"
     written = {}
@@ -37,9 +37,27 @@ def write_bundle(spark: SparkSession, tables: dict[str, DataFrame], folder: str,
     manifest.coalesce(1).write.json(f"{stage}/manifest")
     schema = [(json.dumps({"name": n, "schema": json.loads(s.json())}),) for n, s in written.items()]
     spark.createDataFrame(schema, "value string").coalesce(1).write.text(f"{stage}/schemas")
-    fs, to = _fs(spark, folder)
-    fs.delete(to, True)
-    fs.rename(_fs(spark, stage)[1], to)
+    swap(spark, stage, folder)
+
+
+def swap(spark: SparkSession, stage: str, folder: str) -> None:
+    """Move a finished folder in place. The old one steps aside first and goes last, so at each moment one of the two is
+    whole, here or under its name with `.old`; where the new one can't be moved, the old one comes back."""
+    fs, to = _fs(spark, folder.rstrip("/"))
+    aside = _fs(spark, folder.rstrip("/") + ".old")[1]
+    if fs.exists(to):
+        if fs.exists(aside):
+            fs.delete(aside, True)
+        if not fs.rename(to, aside):
+            raise OSError(f"{folder} can't be moved aside")
+    elif not fs.exists(to.getParent()):
+        fs.mkdirs(to.getParent())
+    if not fs.rename(_fs(spark, stage)[1], to):
+        if fs.exists(aside):
+            fs.rename(aside, to)
+        raise OSError(f"{stage} can't be moved to {folder}")
+    if fs.exists(aside):
+        fs.delete(aside, True)
 
 
 def _described(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
