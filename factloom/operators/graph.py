@@ -248,13 +248,13 @@ def canonical(pointers: DataFrame, node: str, target: str) -> DataFrame:
     step = cut(step.unionByName(ends))
     n = step.count()
     cur = step.select("n", "to")
+    stops = step.where("n = to").select("to")
     hops = 1
     while hops < n:  # then every pointer stands on an end or a cycle
         nxt = cur.select(F.col("n").alias("to"), F.col("to").alias("far"))
-        moved = cut(cur.join(nxt, "to").select("n", F.col("to").alias("was"), F.col("far").alias("to")))
-        cur = moved.select("n", "to")
+        cur = cut(cur.join(nxt, "to").select("n", F.col("far").alias("to")))
         hops *= 2
-        if moved.where("was != to").isEmpty():  # all stand on ends
+        if cur.join(stops, "to", "left_anti").isEmpty():  # all stand on ends, none on a cycle
             return cur.select(F.col("n").alias(node), F.col("to").alias("canonical"))
     ring = cur.select(F.col("to").alias("n")).distinct()
     best = step.join(ring, "n", "left_semi").select("n", "to", F.least("n", "to").alias("low"))

@@ -1,4 +1,4 @@
-"""The rows that the queries over small projects must give, read off their sources by hand, as literal SQL."""
+"""Rows that the queries over small projects gave and that were then checked against their sources by reading, as literal SQL."""
 
 from __future__ import annotations
 

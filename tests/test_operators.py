@@ -12,7 +12,7 @@ from factloom.functions import paths as P
 from factloom.functions import text as T
 from factloom.operators import budget, evaluate, extract, gates, graph, joins, rules, validate
 from factloom.plans.analyze import analyze
-from factloom.queries.workflows import PROJECT
+from factloom.queries.project import SHOP as PROJECT
 from factloom.sources import bundle, config, scan
 from factloom.streaming import incremental
 

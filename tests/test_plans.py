@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import cli
 from factloom.plans import context, formation, review
 from factloom.plans.analyze import analyze
-from factloom.queries.workflows import PROJECT
+from factloom.queries.project import SHOP as PROJECT
 from factloom.sources import bundle
 
 
@@ -89,3 +89,46 @@ def test_verbs(spark, tmp_path):
     assert bundle.read_bundle(spark, str(tmp_path / "b"))["domains"].count() == 2
     cli.main(["context", project, str(tmp_path / "c")], spark)
     cli.main(["domains", project], spark)
+
+
+def test_results(spark, tables, tmp_path):
+    """Results replace the old one whole or not at all; the stream and the folder have the same rows."""
+    import io
+
+    from factloom.plans import overview
+    from factloom.sources import results
+
+    sections = {"domains": tables.domains, "diagnostics": tables.diagnostics}
+    folder = f"file://{tmp_path}/result"
+    sizes = results.write_result(spark, sections, folder)
+    assert spark.read.json(f"{folder}/domains").count() == tables.domains.count()
+    with pytest.raises(results.TooLarge):
+        results.write_result(spark, {"domains": tables.domains.limit(1)}, folder, limit=5)
+    assert spark.read.json(f"{folder}/domains").count() == tables.domains.count()
+    results.write_result(spark, {"domains": tables.domains.limit(1)}, folder)
+    assert spark.read.json(f"{folder}/domains").count() == 1 and not (tmp_path / "result.old").exists()
+    out = io.StringIO()
+    assert results.print_result(sections, out) == sum(sizes.values()) and len(out.getvalue().splitlines()) == tables.domains.count() + tables.diagnostics.count()
+    with pytest.raises(results.TooLarge):
+        results.print_result(sections, io.StringIO(), limit=5)
+    results.compute_only(sections)
+    for place in ("service/shop/clean", "shop"):
+        bundle.write_bundle(spark, {"domains": tables.domains}, f"file://{tmp_path}/all/{place}", {"domains": "bucket"})
+    assert results.find_bundle(spark, f"file://{tmp_path}/all", "shop") == f"file://{tmp_path}/all/shop"
+    assert results.find_bundle(spark, f"file://{tmp_path}/all", "other") is None
+    steps = spark.createDataFrame([("scan", 0, 1.5, "ok")], "step string, ord int, seconds double, status string")
+    for project in ("a", "b", "a"):
+        results.record_run(spark, f"file://{tmp_path}/runs", project, steps)
+    listed = results.workspaces(spark, f"file://{tmp_path}/runs").collect()
+    assert [(r.project, r.runs) for r in listed] == [("a", 2), ("b", 1)]
+    assert overview.saved_map(overview.clean(tables, overview.features(tables))).count() == tables.domains.count()
+
+
+def test_scan_limits(spark, tmp_path):
+    """The number of files stops the scan, one that goes beyond the bytes is skipped; both are said."""
+    for name, size in (("a.py", 10), ("b.py", 500), ("c.py", 10), ("d.py", 10)):
+        (tmp_path / name).write_text("x = 1\n".ljust(size, "#"))
+    settings = {"scan": {"includeHidden": False, "maxFileSizeBytes": 1000}, "limits": {"maxFiles": 3, "maxTotalBytes": 100}}
+    t, large = cli.read(spark, str(tmp_path), settings)
+    assert sorted(r.path for r in t.files.collect()) == ["a.py", "c.py"]
+    assert sorted((r.path, r.code) for r in large.collect()) == [("b.py", "ANALYSIS_LIMIT_REACHED"), ("d.py", "ANALYSIS_LIMIT_REACHED")]
