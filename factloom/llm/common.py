@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,24 +36,27 @@ _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_SETTING, None)
-    spark.conf.set(_SETTING, ARROW_BATCH)
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_SETTING) if before is None else spark.conf.set(_SETTING, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     It cuts the lineage, fixes what depends on task order (running ids) and survives lost executors: a
     committed file comes from exactly one attempt of its task. Files go by release(), or when the driver ends.
+    settings: Spark's, that hold while the table is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
-    with _small_batches(spark):
+    with _settings(spark, {_SETTING: ARROW_BATCH} | (settings or {})):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if not _written:
@@ -101,6 +106,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+@lru_cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to trim by hand
+        return None
+
+
+def trim() -> None:
+    """Give memory that is free in this worker back to the system: workers outlive stages, and an executor's are several."""
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None:
+        libc.malloc_trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a batch's texts; null counts as empty."""
     col = batch.column(column).cast(pa.large_binary())
@@ -119,3 +140,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    trim()

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, fresh, materialise, only, release, slices, texts_of
+from .common import FOLD, fresh, materialise, only, release, slices, texts_of, trim
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
@@ -195,6 +195,7 @@ def _band_rows(nodes: DataFrame, bands: int) -> DataFrame:
             for i in range(ROWS):
                 key = _mix(key ^ (regs[:, :, i] + np.uint64(i + 1)) * np.uint64(0xA0761D6478BD642F))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(node, bands)), pa.array((head[:, None] ^ flips[None, :]).ravel())], names=["key", "node", "turn"])
+        trim()
 
     return nodes.select("node", "head", "regs").mapInArrow(run, "key long, node long, turn long")
 
@@ -214,6 +215,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             n_a, n_b = (batch.column(x).to_numpy() for x in ("n_a", "n_b"))
             keep = likely(r_a, r_b, n_a, n_b) >= least
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        trim()
 
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
@@ -344,6 +346,7 @@ def _in_cells(rows: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
         node, root, block = (pdf[x].to_numpy() for x in ("node", "root", "block"))
         sets = [np.frombuffer(x, "<u8") for x in pdf["own"]]
         found = linked_in_cell(sets, root, block, pdf["i"].iat[0] == pdf["j"].iat[0], percent)
+        trim()
         return pd.DataFrame({"a": [min(node[i], node[j]) for i, j in found], "b": [max(node[i], node[j]) for i, j in found]}, dtype="int64")
 
     # cells are heavy for their bytes: deal them out over all partitions
