@@ -62,20 +62,35 @@ def latest_stab(points: DataFrame, spans: DataFrame, on: list[str], point: str,
     return met.groupBy(*on, point).agg(pick.alias(span))
 
 
-def next_asof(points: DataFrame, marks: DataFrame, on: list[str], at: str, when: str, value: str, tolerance: Column | None = None) -> DataFrame:
-    """points with the first mark after `at` (strictly), optionally within a tolerance (J-07).
+def _edges(rows: DataFrame, on: list[str], bucket: Column, when: str, first: bool) -> DataFrame:
+    """on, __b, __edge: for each bucket of time that has rows, the first time after it, or the last one before it.
 
-    One window over both sides: no range join, one shuffle by `on`.
+    It is computed from one row a bucket, so an owner with very many rows is no single task's work.
     """
-    cols = points.columns
-    kind = dict(points.dtypes)
-    left = points.select(*cols, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(dict(marks.dtypes)[value]).alias("__v"), F.lit(None).cast(dict(marks.dtypes)[when]).alias("__w"))
-    right = marks.select(*[F.col(c).alias(c) if c in on else F.lit(None).cast(kind[c]).alias(c) for c in cols], F.col(when).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"), F.col(when).alias("__w"))
-    # at equal times marks sort first, so a point sees only later ones; of marks at one time the smallest value counts
-    order = Window.partitionBy(*on).orderBy("__t", "__side", F.col("__v").desc()).rowsBetween(1, Window.unboundedFollowing)
-    both = left.unionByName(right)
-    later = F.first(F.when(F.col("__side") == 0, F.struct(F.col("__w").alias("w"))), ignorenulls=True).over(order)
-    out = both.withColumn("__next", later["w"]).where("__side = 1").drop("__t", "__side", "__v", "__w")
+    own = rows.groupBy(*on, bucket.alias("__b")).agg((F.min if first else F.max)(when).alias("__t"))
+    order = Window.partitionBy(*on).orderBy("__b")
+    frame = order.rowsBetween(1, Window.unboundedFollowing) if first else order.rowsBetween(Window.unboundedPreceding, -1)
+    return own.withColumn("__edge", (F.first if first else F.last)("__t", True).over(frame)).drop("__t")
+
+
+def next_asof(points: DataFrame, marks: DataFrame, on: list[str], at: str, when: str, value: str, tolerance: Column | None = None, width: int = 1 << 10) -> DataFrame:
+    """points with the first mark after `at` (strictly), optionally within a tolerance (J-07). Times are numbers.
+
+    One window over both sides within buckets of `width`, and the first mark of a later bucket for points that have none
+    in their own: no range join, and the rows of one owner are spread over its buckets.
+    """
+    cell = F.floor(F.col("__t") / width)
+    cols, kind = points.columns, dict(points.dtypes)
+    left = points.select(*cols, F.col(at).alias("__t"), F.lit(1).alias("__side"))
+    times = marks.select(*on, F.col(when).alias("__t")).distinct()
+    right = times.select(*[F.col(c).alias(c) if c in on else F.lit(None).cast(kind[c]).alias(c) for c in cols], "__t", F.lit(0).alias("__side"))
+    both = left.unionByName(right).withColumn("__b", cell)
+    mark = F.when(F.col("__side") == 0, F.col("__t"))
+    # at equal times marks sort first, so a point sees only later ones
+    order = Window.partitionBy(*on, "__b").orderBy("__t", "__side").rowsBetween(1, Window.unboundedFollowing)
+    inside = both.withColumn("__in", F.first(mark, True).over(order)).where("__side = 1")
+    later = _edges(both.withColumn("__m", mark), on, F.col("__b"), "__m", True)
+    out = inside.join(later, [*on, "__b"], "left").select(*cols, F.coalesce("__in", "__edge").alias("__next"))
     best = marks.groupBy(*on, F.col(when).alias("__next")).agg(F.min(value).alias(value))
     out = out.join(best, [*on, "__next"], "left").withColumnRenamed("__next", when)
     if tolerance is not None:
@@ -137,22 +152,28 @@ def unassigned(units: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return units.join(members.select(key).distinct(), key, "left_anti")
 
 
-def nearest(points: DataFrame, marks: DataFrame, on: list[str], point: str, at: str, when: str, value: str) -> DataFrame:
+def nearest(points: DataFrame, marks: DataFrame, on: list[str], point: str, at: str, when: str, value: str, width: int = 1 << 10) -> DataFrame:
     """For each point the mark of the same `on` at the least distance; ties go to the smaller value (J-22).
 
-    Two scans of one window find the mark before and the one after, so no pairs are built.
+    Two scans of one window find the mark before and the one after within buckets of `width`; what lies in other buckets
+    comes from one row a bucket. No pairs are built, and the rows of one owner are spread over its buckets.
     """
     marks = marks.groupBy(*on, when).agg(F.min(value).alias(value))
     a = points.select(*on, F.col(point).alias("__p"), F.col(at).cast("double").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(dict(marks.dtypes)[value]).alias("__v"))
     b = marks.select(*on, F.lit(None).cast(dict(points.dtypes)[point]).alias("__p"), F.col(when).cast("double").alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
     mark = F.when(F.col("__side") == 0, F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
-    order = Window.partitionBy(*on).orderBy("__t", "__side")
-    both = a.unionByName(b)
+    order = Window.partitionBy(*on, "__b").orderBy("__t", "__side")
+    both = a.unionByName(b).withColumn("__b", F.floor(F.col("__t") / width))
     both = both.withColumn("__before", F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     both = both.withColumn("__after", F.first(mark, True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    marked = both.withColumn("__m", mark)
+    back = _edges(marked, on, F.col("__b"), "__m", False).withColumnRenamed("__edge", "__back")
+    ahead = _edges(marked, on, F.col("__b"), "__m", True).withColumnRenamed("__edge", "__ahead")
+    met = both.where("__side = 1").join(back, [*on, "__b"], "left").join(ahead, [*on, "__b"], "left")
+    met = met.withColumn("__before", F.coalesce("__before", "__back")).withColumn("__after", F.coalesce("__after", "__ahead"))
     down, up = F.col("__t") - F.col("__before.t"), F.col("__after.t") - F.col("__t")
     first = up.isNull() | (down < up) | ((down == up) & (F.col("__before.v") <= F.col("__after.v")))
-    return both.where("__side = 1").select(*on, F.col("__p").alias(point), F.when(F.col("__before").isNotNull() & first, F.col("__before.v")).otherwise(F.col("__after.v")).alias(value))
+    return met.select(*on, F.col("__p").alias(point), F.when(F.col("__before").isNotNull() & first, F.col("__before.v")).otherwise(F.col("__after.v")).alias(value))
 
 
 def relation_edges(edges: DataFrame, members: DataFrame, source: str, target: str, unit: str, group: str) -> DataFrame:

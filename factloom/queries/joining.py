@@ -132,7 +132,7 @@ def asof_next(lens: Lens) -> DataFrame:
     points = lens.table("events").select("event_id", "user_id", _event_day().alias("at"))
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")) - 2920
     marks = lens.table("orders").select(F.col("o_custkey").alias("user_id"), day.alias("day"), "o_orderkey")
-    return J.next_asof(points, marks, ["user_id"], "at", "day", "o_orderkey").select("event_id", F.col("day").cast("long").alias("day"), "o_orderkey")
+    return J.next_asof(points, marks, ["user_id"], "at", "day", "o_orderkey", width=64).select("event_id", F.col("day").cast("long").alias("day"), "o_orderkey")
 
 
 @query(
@@ -145,7 +145,7 @@ def nearest_evidence(lens: Lens) -> DataFrame:
     points = lens.table("events").select("event_id", "user_id", _event_day().alias("at"))
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")) - 2920
     marks = lens.table("orders").select(F.col("o_custkey").alias("user_id"), day.alias("day"), "o_orderkey")
-    return J.nearest(points, marks, ["user_id"], "event_id", "at", "day", "o_orderkey").select("event_id", "o_orderkey")
+    return J.nearest(points, marks, ["user_id"], "event_id", "at", "day", "o_orderkey", width=64).select("event_id", "o_orderkey")
 
 
 @query(
