@@ -140,6 +140,15 @@ def _path_pairs(lens: Lens) -> DataFrame:
     return A.path_pairs(h, "host", "path")
 
 
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS key, strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS item FROM orders), n AS (SELECT key, count(*) AS n FROM s GROUP BY 1),
+    b AS (SELECT x.key AS left_key, y.key AS right_key, count(*) AS shared FROM s x JOIN s y ON x.item = y.item AND x.key < y.key GROUP BY 1, 2)
+    SELECT left_key, right_key, round(shared / CAST(l.n + r.n - shared AS DOUBLE), 6) AS resource FROM b JOIN n l ON l.key = left_key JOIN n r ON r.key = right_key WHERE shared * 5 >= (l.n + r.n - shared) * 2""")
+def similar_pairs(lens: Lens) -> DataFrame:
+    """A-13, J-18: customers whose months of orders have a Jaccard similarity of 0.4 or more."""
+    sets = lens.table("orders").select(F.col("o_custkey").alias("key"), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM").alias("item"))
+    return A.similar_pairs(sets, "key", "item", 0.4).select("left_key", "right_key", F.round("resource", 6).alias("resource"))
+
+
 @query(_PATHS + _PATH_PAIRS + " SELECT left_key, right_key, round(path, 6) AS path FROM sim")
 def path_similarity(lens: Lens) -> DataFrame:
     """A-14, F-09: mean common prefix of the paths of two host classes."""
