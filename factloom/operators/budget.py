@@ -8,18 +8,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
+
+def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` over the rows before, by `order`, whose values are all different.
+
+    Rows are sorted by range; one window adds up the ranges' totals, a row a range, and one runs within each range, so
+    no task sees all rows.
+    """
+    dealt = cut(rows.repartitionByRange(order).withColumn("__range", F.spark_partition_id()))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__range").agg(F.sum(value).alias("__total"))
+    totals = totals.select("__range", F.coalesce(F.sum("__total").over(before.orderBy("__range")), F.lit(0)).alias("__base"))
+    own = F.coalesce(F.sum(value).over(before.partitionBy("__range").orderBy(order)), F.lit(0))
+    return dealt.join(F.broadcast(totals), "__range").withColumn(name, F.col("__base") + own).drop("__range", "__base")  # a row a range
+
 
 def running_budget(rows: DataFrame, group: str, order: list[Column], budget: int) -> DataFrame:
     """Rows that fit a budget that groups use up in order (W-06).
 
-    Groups are counted first; the running sum is over one row a group, and only rows of groups that start within
-    the budget are ranked.
+    Groups are counted first; the running sum is over one row a group, range by range, and only rows of groups that start
+    within the budget are ranked.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    # a group beyond the first `budget` groups can't start within it, so the sum needs no more than that many rows
-    first = sizes.orderBy(group).limit(budget)
-    before = first.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    near = rows.join(F.broadcast(before.where(F.col("__before") < budget).select(group, "__before")), group)  # at most `budget` rows
+    before = running_sum(rows.groupBy(group).agg(F.count("*").alias("__n")), group, "__n", "__before")
+    near = rows.join(before.where(F.col("__before") < budget).select(group, "__before"), group)
     ranked = near.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return ranked.where(F.col("__rank") <= budget - F.col("__before")).drop("__before", "__rank")
 

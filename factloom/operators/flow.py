@@ -15,6 +15,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .budget import running_sum
 from .syntax import Items
 
 #: Kinds of units that have a flow (P-03), and of references that are calls (P-04).
@@ -272,9 +273,8 @@ def flows(units: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
 def capped_nodes(nodes: DataFrame, kept: DataFrame, budget: int) -> DataFrame:
     """Nodes of the flows that fit a common budget whole, flows in id order (W-06); a flow is never cut, so none is left
     without its entry or exit."""
-    sizes = kept.select("unit_id", "nodes").orderBy("unit_id").limit(budget)  # every flow has two nodes at least
-    before = F.sum("nodes").over(Window.orderBy("unit_id").rowsBetween(Window.unboundedPreceding, 0))
-    fits = sizes.withColumn("__used", before).where(F.col("__used") <= budget).select("unit_id")
+    used = running_sum(kept.select("unit_id", "nodes"), "unit_id", "nodes", "__before")
+    fits = used.where(F.col("__before") + F.col("nodes") <= budget).select("unit_id")
     return nodes.join(fits, "unit_id", "left_semi")
 
 
