@@ -23,7 +23,8 @@ BUDGET = 450_000
 def packets(t: Tables) -> DataFrame:
     """domain, id, line, size, priority, required: one packet a contract, with what it calls and touches."""
     units = t.units.select(F.col("id").alias("unit_id"), "qualified_name", F.col("path").alias("unit_path"))
-    touched = t.reachable.select(F.col("source_id").alias("unit_id"), F.col("target_id").alias("hit")).join(t.resources.select(F.col("unit_id").alias("hit"), F.col("name").alias("resource"), "mode"), "hit")
+    held = t.resources.join(t.parts.withColumnRenamed("node", "unit_id"), "unit_id", "left").select(F.coalesce("part", "unit_id").alias("part"), F.col("name").alias("resource"), "mode").distinct()
+    touched = t.reached_parts.select(F.col("source_id").alias("unit_id"), "part").join(held, "part")
     touched = touched.groupBy("unit_id").agg(F.slice(F.array_sort(F.collect_set("resource")), 1, 3).alias("resources"), F.max(F.when(F.col("mode") == "write", 1).otherwise(0)).alias("writes"))
     called = t.calls.join(units.select(F.col("unit_id").alias("target_id"), "qualified_name"), "target_id").groupBy(F.col("source_id").alias("unit_id")).agg(F.slice(F.array_sort(F.collect_set(T.last_segment(F.col("qualified_name")))), 1, 3).alias("called"))
     edges = t.features.select(F.col("root").alias("unit_id"), "resolved", F.col("dynamic").alias("dynamics"))

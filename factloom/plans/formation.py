@@ -26,7 +26,8 @@ MODES = ("legacyStrictKey", "structuralCrossKey")
 def _of_units(t: Tables) -> DataFrame:
     """key, unit_id of every unit that a capability's entrypoints reach."""
     own = t.contracts.where("key is not null").select("key", "unit_id")
-    return own.join(t.reachable.select(F.col("source_id").alias("unit_id"), "target_id"), "unit_id").select("key", F.col("target_id").alias("unit_id")).distinct()
+    pairs = own.join(t.reached_parts.withColumnRenamed("source_id", "unit_id"), "unit_id").select("key", "part").distinct()
+    return X.members(pairs, t.parts, "unit_id").select("key", "unit_id")
 
 
 def signal_pairs(t: Tables) -> DataFrame:
