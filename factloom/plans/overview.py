@@ -213,6 +213,16 @@ def global_summary(members: DataFrame, unit: str, group: str) -> DataFrame:
     return members.agg(F.countDistinct(unit).alias("units"), F.count("*").alias("memberships"), F.countDistinct(group).alias("groups"))
 
 
+def adjacent_domains(relations: DataFrame, source: str, target: str, inside: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """adjacent, weight: domains outside that share the most relations with those inside (J-24); relations with both
+    ends inside or both outside don't count."""
+    held = lambda c, x: inside.select(F.col(key).alias(c), F.lit(True).alias(x)).distinct()
+    met = relations.join(held(source, "__a"), source, "left").join(held(target, "__b"), target, "left")
+    met = met.where(F.col("__a").isNull() != F.col("__b").isNull())
+    out = met.groupBy(F.when(F.col("__a").isNull(), F.col(source)).otherwise(F.col(target)).alias("adjacent")).agg(F.count("*").alias("weight"))
+    return out.orderBy(F.desc("weight"), "adjacent").limit(most)
+
+
 #: What a relation's status counts for a connection.
 CONNECTION = {"confirmed": 3, "candidate": 2, "unknown": 1, "dynamic": 1}
 

@@ -114,9 +114,7 @@ def unique_handlers(lens: Lens) -> DataFrame:
 @query(with_views("trade", "SELECT CASE WHEN nation < 5 THEN partner ELSE nation END AS adjacent, count(*) AS weight FROM trade WHERE (nation < 5) <> (partner < 5) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8").replace("WITH trade", "WITH sold AS (SELECT s_nationkey, c_nationkey, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), trade"))
 def adjacent_domains(lens: Lens) -> DataFrame:
     """J-24: relations with just one end inside, the eight strongest (a top-k)."""
-    a, b = F.col("nation") < 5, F.col("partner") < 5
-    rows = lens.trade().where(a != b).groupBy(F.when(a, F.col("partner")).otherwise(F.col("nation")).alias("adjacent")).agg(F.count("*").alias("weight"))
-    return rows.orderBy(F.desc("weight"), "adjacent").limit(8)
+    return overview.adjacent_domains(lens.trade(), "nation", "partner", lens.table("nation").where("n_nationkey < 5"), "n_nationkey")
 
 
 @query("SELECT c_custkey, coalesce(m.canonical, c_nationkey) AS domain FROM customer LEFT JOIN (SELECT n_nationkey AS id, n_regionkey AS canonical FROM nation WHERE n_nationkey % 2 = 0) m ON m.id = c_nationkey")

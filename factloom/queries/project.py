@@ -11,8 +11,9 @@ from ..operators import frameworks as K
 from ..plans import formation, overview
 from ..plans.analyze import Tables, add_frameworks, analyze, split_facts, validated
 from ..plans.lens import Lens
+from ..plans.profile import progress_events, progress_line, stage_percent
 from ..session import ship
-from .expected import ROWS
+from .expected import ROWS, rows
 from .registry import query
 
 Project = list[tuple[str, str, str]]
@@ -425,6 +426,13 @@ def feature_marks(lens: Lens) -> DataFrame:
     return rows.select("id", overview.feature_tags(c("e"), c("r"), c("w"), c("d")).alias("tags"), overview.feature_priority(c("n"), c("e").cast("int"), c("r").cast("int")).alias("priority"), overview.unique_hints(F.array(c("kind"), F.lit(" a "), F.lit("a"), F.lit(""), F.lit("b")), 3).alias("hints"), overview.handler_key(c("path_key"), c("kind"), c("cls"), c("service"), F.lit("nightly")).alias("key"), overview.shared_threshold(c("n") * 100, 3, 4, 200).alias("threshold"))
 
 
+@query(rows("stage VARCHAR, percent INTEGER, status VARCHAR", "'scan', 100, 'done'", "'extract', 40, 'running'"))
+def progress_fold(lens: Lens) -> DataFrame:
+    """ST-03: log lines to percentages."""
+    log = ["starting", progress_line("scan", 1, 2), progress_line("scan", 2, 2, "done"), progress_line("extract", 1, 5), "progress of another kind", progress_line("extract", 2, 5)]
+    return stage_percent(progress_events(lens.spark.createDataFrame(list(enumerate(log)), "ord int, line string")))
+
+
 @query(ROWS["aggregate_statuses"])
 def aggregate_statuses(lens: Lens) -> DataFrame:
     """A-01, A-04: edges of the project by kind and worst status."""
