@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import last_segment, stable_id, string_literal
+
 # Keyword before a table name; words that are no tables.
 SQL_TABLE = r"""(?i)\b(?:from|into|update|join|table)\s+[`"']?([a-zA-Z_][a-zA-Z0-9_]*)"""
 NO_TABLES = ["select", "where", "set", "values", "on", "and", "or", "as", "if", "exists"]
@@ -73,3 +75,41 @@ def detect_markers(lines: DataFrame, markers: Sequence[tuple[str, str, str]], fi
 def replace_generic(generic: DataFrame, specific: DataFrame, keys: list[str]) -> DataFrame:
     """Specific rows, and generic rows whose key no specific row has (O-06)."""
     return specific.unionByName(generic.join(specific.select(*keys).distinct(), keys, "left_anti"))
+
+
+# Resources by the callee with its imports resolved: kind, pattern, whether the receiver is the name, and
+# the way of access where the method doesn't say.
+RESOURCES: list[tuple[str, str, bool, str]] = [
+    ("environment", r"^(os\.getenv|os\.environ\.get|process\.env\.\w+|System\.getenv|(std::)?env::var|Environment\.GetEnvironmentVariable|os\.Getenv)$", False, "read"),
+    ("webSocket", r"^WebSocket$", False, "readWrite"),
+    ("externalApi", r"^(axios|requests|httpx|superagent|reqwest|http)(\.|::)(get|post|put|patch|delete|head|request|Get|Post)$|^fetch$", False, "read"),
+    ("file", r"^(fs|fs/promises|fsPromises)\.\w*([rR]ead|[wW]rite|append|unlink)\w*$|^open$|^os\.(Open|ReadFile|WriteFile|Create)$|^(std::)?fs::(read|write|read_to_string)$", False, "read"),
+    ("file", r"(^|\.)(path|file|Path)\.(read_text|write_text|read_bytes|write_bytes)$", True, "read"),
+    ("cache", r"^(redis|cache|memcache|memcached)\.(get|set|del|delete|hget|hset|expire|incr)$", False, "read"),
+    ("eventTopic", r"(^|\.)(bus|eventBus|event_bus|broker|producer|publisher)\.(publish|emit|send|dispatch)$", False, "write"),
+    ("network", r"^(socket|net)\.(connect|createConnection|Dial|bind|listen)$", False, "readWrite"),
+    ("process", r"^(subprocess\.(run|call|Popen|check_output)|os\.system|child_process\.(exec|spawn|execFile)|exec\.Command)$", False, "execute"),
+]
+
+
+def call_resources(calls: DataFrame, bindings: DataFrame, rules: Sequence[tuple[str, str, bool, str]] = RESOURCES) -> DataFrame:
+    """file_id, id, unit_id, kind, name, mode, start_line, end_line of resources that calls touch, by the first rule that
+    fits (U-14, W-07). The head of a callee is what its file has imported under that name, if all imports agree (J-27);
+    the name is the first argument's literal, or the receiver's; a method that reads or writes says the mode.
+
+    Rules are literals of the plan: one projection, and one join with the bindings by file and name.
+    """
+    bound = bindings.where("kind = 'import'").groupBy("file_id", F.col("local_name").alias("head")).agg(F.min("target_name").alias("to"), F.max("target_name").alias("other")).where("to = other")
+    own = calls.withColumn("head", F.regexp_extract("callee", r"^[A-Za-z_$][\w$]*", 0)).join(bound.select("file_id", "head", "to"), ["file_id", "head"], "left")
+    source = F.regexp_replace(F.regexp_replace("to", r"\.default$", ""), r"^node:", "")
+    full = F.when(F.col("to").isNull(), F.col("callee")).otherwise(F.concat(source, F.expr("substring(callee, length(head) + 1)")))
+    own = own.withColumn("full", full)
+    hit = lambda p: F.col("full").rlike(p) | F.col("callee").rlike(p)
+    pick = lambda i: F.coalesce(*[F.when(hit(r[1]), F.lit(r[i])) for r in rules])
+    literal = string_literal(F.get(F.split(F.coalesce("arguments", F.lit("")), "\x1f"), F.lit(0)))
+    met = own.withColumns({"kind": pick(0), "by_receiver": pick(2), "usual": pick(3)}).where("kind is not null")
+    verb = F.lower(last_segment(F.col("full")))
+    mode = F.when(F.col("usual").isin("readWrite", "execute"), F.col("usual")).when(verb.rlike("write|set|put|post|patch|delete|append|unlink|publish|emit|send|dispatch|create|incr|expire|^del$"), "write").when(verb.rlike("read|get|load|open|fetch|head"), "read").otherwise(F.col("usual"))
+    name = F.when(F.col("by_receiver"), F.coalesce(last_segment(F.col("receiver")), literal)).otherwise(literal)
+    out = met.withColumns({"name": name, "mode": mode}).where("name is not null")
+    return out.select("file_id", stable_id("call_", "id", "kind").alias("id"), "unit_id", "kind", "name", "mode", "start_line", "end_line")

@@ -15,6 +15,7 @@ from ..operators import flow as W
 from ..operators import frameworks as K
 from ..operators import graph as X
 from ..operators import joins as J
+from ..operators import rules as R
 from ..operators import validate as V
 
 
@@ -126,6 +127,7 @@ def analyze(files: DataFrame, limits: dict[str, int] | None = None, manifests: D
     t.frames["edges"] = A.aggregate_edges(refs.withColumn("target", F.coalesce("target_id", F.concat(F.lit("name:"), "target_name"))), "source_id", "target", "kind", "status", "id")
     calls = W.call_edges(refs).where("target_id is not null").select("source_id", "target_id").distinct()
     t.frames["calls"] = calls
+    t.frames["resources"] = t.resources.unionByName(R.call_resources(t.call_sites, t.bindings))
     add_frameworks(t, files, manifests)
     _flows(t, limits)
     _domains(t, refs, calls)

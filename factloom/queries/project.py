@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators import evaluate, extract, gates, graph
+from ..operators import evaluate, extract, gates, graph, rules
 from ..operators import frameworks as K
 from ..plans import formation, overview
 from ..plans.analyze import Tables, add_frameworks, analyze, split_facts, validated
@@ -274,6 +274,20 @@ def formed_domains(lens: Lens) -> DataFrame:
     return out["domains"].join(reasons.withColumnRenamed("cluster", "key"), "key", "left").select("key", "label", F.col("members").cast("long").alias("members"), "status", "kind", "reason")
 
 
+_TOUCHING: Project = [
+    ("t1", "src/load.ts", 'import fs from "fs";\nimport axios from "axios";\nimport redis from "redis";\nimport { readFile as slurp } from "fs";\nasync function load(path, customer) {\n  await axios.get("https://example.test/users");\n  await fs.writeFile("./data.json", "x");\n  slurp("./in.json");\n  await redis.set("session:1", 2);\n  await eventBus.publish("user.created");\n  new WebSocket("wss://example.test");\n  path.read_text();\n  customer.read_text();\n  publish("no-topic");\n}\n'),
+    ("t2", "conf.py", 'import os\nimport socket\nimport subprocess as sp\n\n\ndef load():\n    os.getenv("API_KEY")\n    socket.connect("localhost")\n    sp.run("ls")\n'),
+]
+
+
+@query(rows("file_id VARCHAR, kind VARCHAR, name VARCHAR, mode VARCHAR, start_line INTEGER", *[f"'{f}', '{k}', '{n}', '{m}', {i}" for f, k, n, m, i in [("t1", "externalApi", "https://example.test/users", "read", 6), ("t1", "file", "./data.json", "write", 7), ("t1", "file", "./in.json", "read", 8), ("t1", "cache", "session:1", "write", 9), ("t1", "eventTopic", "user.created", "write", 10), ("t1", "webSocket", "wss://example.test", "readWrite", 11), ("t1", "file", "path", "read", 12), ("t2", "environment", "API_KEY", "read", 7), ("t2", "network", "localhost", "readWrite", 8), ("t2", "process", "ls", "execute", 9)]]))
+def call_resources(lens: Lens) -> DataFrame:
+    """U-14, W-07: resources that calls touch, through import aliases; plain methods of the same names are none."""
+    ship(lens.spark)
+    t = split_facts(extract.extract(lens.spark.createDataFrame(_TOUCHING, "file_id string, path string, text string")))
+    return rules.call_resources(t["call_sites"], t["bindings"]).select("file_id", "kind", "name", "mode", "start_line")
+
+
 def _matrix(lens: Lens, name: str) -> DataFrame:
     t = frameworks_of(lens, name)
     routes = _named(t, t.entrypoints.where("kind in ('http', 'webSocket', 'event')"), "unit_id", "unit").select("framework", "kind", "method", F.col("path").alias("path"), "unit", "line")
