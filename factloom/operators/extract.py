@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+import warnings
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -238,7 +239,9 @@ class _Python(ast.NodeVisitor):
 
 def python_facts(facts: Facts, text: str) -> None:
     try:
-        tree = ast.parse(text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", SyntaxWarning)  # odd escapes are the text's affair
+            tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as e:
         facts.add("diagnostic", facts.root, "warning", "PARSE_ERROR", str(e)[:200], getattr(e, "lineno", 1) or 1, getattr(e, "lineno", 1) or 1)
         line_facts(facts, text)
