@@ -46,6 +46,9 @@ from .common import materialise, only, release, slices, texts_of
 LENGTH, GRAM, SPAN = 400, 16, 256
 CORE = LENGTH - SPAN + 1
 
+#: Keys that the driver samples a range to find the ranges of a sort; they hold up to half a kilobyte each.
+SAMPLE = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "16"}
+
 _hash = xxhash.xxh3_64_intdigest
 _ROW = ["doc_id", "text_hash"]
 
@@ -242,8 +245,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[Data
     wanted = entries.join(unclear, "core", "left_semi").groupBy(*_ROW).agg(F.collect_list(F.struct("core", "entry", "n")).alias("wanted"))
     edges = materialise(_entries(_matched(rows, wanted)), "entries")
     release(entries, unclear)
-    left = materialise(_neighbours(edges, "left"), "dictionary-order")
-    both = materialise(_neighbours(left, "right").drop("left", "right").where("asks").mapInArrow(_open, f"core long, doc_id long, text_hash long, at long, sure {_RANGES}, lo int, hi int"), "parse-order")
+    left = materialise(_neighbours(edges, "left"), "dictionary-order", SAMPLE)
+    both = materialise(_neighbours(left, "right").drop("left", "right").where("asks").mapInArrow(_open, f"core long, doc_id long, text_hash long, at long, sure {_RANGES}, lo int, hi int"), "parse-order", SAMPLE)
     release(left)
 
     limits = both.where("lo is not null").groupBy("core").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
