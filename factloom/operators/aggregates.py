@@ -90,35 +90,9 @@ def cosine_pairs(weights: DataFrame, doc: str, term: str, weight: str = "weight"
     return both.select("left_key", "right_key", cos.alias("lexical"))
 
 
-def _rare_items(own: DataFrame, size: DataFrame, key: str, item: str, least: float) -> DataFrame:
-    """Of each key the rarest items, so many that two sets of Jaccard similarity `least` must share one of them."""
-    held = own.groupBy(item).agg(F.count("*").alias("__df"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("__df", item))
-    ranked = own.join(held, item).join(size, key).withColumn("__rank", rank)
-    return ranked.where(F.col("__rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select(key, item, "size")
-
-
-def similar_pairs(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
-    """left_key, right_key, resource: pairs of at least this Jaccard similarity (A-13, J-18).
-
-    Keys meet on their rarest items only, and only if their sizes can reach the similarity, so an item that very many
-    keys hold makes no pairs; what has met is compared on all items.
-    """
-    own = sets.select(key, item).distinct()
-    size = own.groupBy(key).agg(F.count("*").alias("size"))
-    rare = _rare_items(own, size, key, item, least)
-    a, b = (rare.select(F.col(key).alias(f"{s}_key"), item, F.col("size").alias(f"n_{s}_key")) for s in ("left", "right"))
-    near = F.least("n_left_key", "n_right_key") >= F.greatest("n_left_key", "n_right_key") * least - 1e-9
-    met = a.join(b, item).where(F.col("left_key") < F.col("right_key")).where(near).select("left_key", "right_key", "n_left_key", "n_right_key").distinct()
-    x, y = own.select(F.col(key).alias("left_key"), item), own.select(F.col(key).alias("right_key"), item)
-    both = met.join(x, "left_key").join(y, ["right_key", item]).groupBy("left_key", "right_key", "n_left_key", "n_right_key").agg(F.count("*").alias("shared"))
-    value = F.col("shared") / (F.col("n_left_key") + F.col("n_right_key") - F.col("shared"))
-    return both.select("left_key", "right_key", value.alias("resource")).where(F.col("resource") >= least - 1e-9)
-
-
 def jaccard_pairs(sets: DataFrame, key: str, item: str) -> DataFrame:
     """Jaccard similarity of all pairs that share an item, through the inverted index (A-13); with a threshold,
-    similar_pairs() needs far fewer."""
+    similar.similar_pairs() needs far fewer."""
     own = sets.select(key, item).distinct()
     size = own.groupBy(key).agg(F.count("*").alias("size"))
     x, y = own.select(F.col(key).alias("left_key"), item), own.select(F.col(key).alias("right_key"), item)

@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..operators import aggregates as A
 from ..operators import gates as G
 from ..operators import joins as J
+from ..operators import similar
 from ..plans import overview
 from ..plans.lens import Lens, with_views
 from .registry import query
@@ -146,7 +147,7 @@ def _path_pairs(lens: Lens) -> DataFrame:
 def similar_pairs(lens: Lens) -> DataFrame:
     """A-13, J-18: customers whose months of orders have a Jaccard similarity of 0.4 or more."""
     sets = lens.table("orders").select(F.col("o_custkey").alias("key"), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM").alias("item"))
-    return A.similar_pairs(sets, "key", "item", 0.4).select("left_key", "right_key", F.round("resource", 6).alias("resource"))
+    return similar.similar_pairs(sets, "key", "item", 0.4).select("left_key", "right_key", F.round("resource", 6).alias("resource"))
 
 
 @query(_PATHS + _PATH_PAIRS + " SELECT left_key, right_key, round(path, 6) AS path FROM sim")
