@@ -25,7 +25,7 @@ from .graph import cut
 #: Sets of an item up to which they meet in a join.
 LIST = 64
 #: Sets, and items of theirs, in a block.
-ROWS, ITEMS = 1 << 14, 1 << 19
+ROWS, ITEMS = 1 << 15, 1 << 19
 #: Columns of a matrix; more items share them, which gives upper bounds, and what reaches them is intersected.
 COLUMNS = 512
 #: Numbers in a product, and pairs in a batch.
@@ -92,7 +92,8 @@ def _multiplied(many: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*ends, pa.array(shared, pa.int64()), pa.array(size[i]), pa.array(size[j])], names=["left", "right", "shared", "left_size", "right_size"])
 
     kind = dict(many.dtypes)["rep"]
-    return dealt.groupBy("code", "x", "y").applyInArrow(run, f"left {kind}, right {kind}, shared long, left_size long, right_size long")
+    # else the join's partitions by code would serve, and one task have all blocks of an item
+    return dealt.repartition("code", "x", "y").groupBy("code", "x", "y").applyInArrow(run, f"left {kind}, right {kind}, shared long, left_size long, right_size long")
 
 
 def products(code: int, rows: pa.Table, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
