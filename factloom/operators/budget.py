@@ -81,7 +81,7 @@ def scan_prefix(rows: DataFrame, order: str, size: str, most: int, budget: int)
             yield pdf[keep]
 
     kept = keys.orderBy(order).limit(most).coalesce(1).sortWithinPartitions(order).mapInPandas(run, kinds)
-    return rows.join(kept.select(order), order, "left_semi")
+    return rows.join(kept.select(order), order, "left_semi").select(*(f"`{c}`" for c in rows.columns))  # the join puts `order` first
 
 
 def fill_rows(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:

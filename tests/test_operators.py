@@ -139,6 +139,13 @@ def test_budgets(spark):
     assert budget.fit([("x", 5, 9, True), ("y", 5, 1, False)], [("w", 3, 1)], 2, 10) == (["x"], ["w"], True)
 
 
+def test_scan_prefix_keeps_columns(spark):
+    """The order's column stays where it was, with the values of the others beside it."""
+    df = spark.createDataFrame([(5, "x", "b"), (400, "y", "a"), (6, "z", "c"), (1, "w", "d")], "size long, tag string, path string")
+    kept = budget.scan_prefix(df, "path", "size", 3, 100)
+    assert kept.dtypes == df.dtypes and rows(kept) == [(5, "x", "b"), (6, "z", "c")]
+
+
 @given(st.dictionaries(st.sampled_from(["a", "b", "a/x", "a/y", "b/z", "c", "d/e"]), st.integers(1, 9), min_size=1), st.integers(1, 4))
 @settings(max_examples=40, deadline=None)
 def test_cap_buckets_keeps_all(sizes, most):
