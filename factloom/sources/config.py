@@ -9,7 +9,7 @@ from pathlib import Path
 
 DEFAULTS: dict = {
     "scan": {"includeHidden": False, "maxFileSizeBytes": 10_485_760},
-    "limits": {"maxFiles": 100_000, "maxTotalBytes": 1_073_741_824, "maxUnits": 2_000_000, "maxReferences": 10_000_000, "maxCallSites": 5_000_000, "maxExecutionFlows": 500_000, "maxFlowNodes": 5_000_000},
+    "limits": {"maxFiles": 100_000, "maxTotalBytes": 1_073_741_824},  # of the scan; those of the analysis are in plans.analyze.LIMITS and can be set here too
     "domains": {"minimumTokenLength": 3, "featureHttpMatchWeight": 0.40, "featureCallWeight": 0.15, "featureFlowWeight": 0.15, "featureResourceWeight": 0.10, "featurePathWeight": 0.05, "featureLexicalWeight": 0.15},
     "bundle": {"partTargetBytes": 1_000_000},
 }

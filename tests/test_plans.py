@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom import cli
 from factloom.plans import context, formation, review
-from factloom.plans.analyze import analyze
+from factloom.plans.analyze import LIMITS, analyze
 from factloom.queries.project import SHOP as PROJECT
-from factloom.sources import bundle
+from factloom.sources import bundle, config
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +132,14 @@ def test_scan_limits(spark, tmp_path):
     t, large = cli.read(spark, str(tmp_path), settings)
     assert sorted(r.path for r in t.files.collect()) == ["a.py", "c.py"]
     assert sorted((r.path, r.code) for r in large.collect()) == [("b.py", "ANALYSIS_LIMIT_REACHED"), ("d.py", "ANALYSIS_LIMIT_REACHED")]
+
+
+def test_analysis_limits_from_a_file(spark, tmp_path):
+    """A limit of the analysis has one default, and a configuration file sets it."""
+    assert not set(config.DEFAULTS["limits"]) & set(LIMITS)
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.py").write_text("def f():\n    pass\n\n\ndef g():\n    pass\n")
+    (tmp_path / "c.toml").write_text("[limits]\nmaxUnits = 1\n")
+    for settings, said in ((config.load(), []), (config.load(tmp_path / "c.toml"), ["units: 1"])):
+        t, _ = cli.read(spark, str(tmp_path / "p"), settings)
+        assert [r.message for r in t.diagnostics.where("code = 'ANALYSIS_LIMIT_REACHED'").collect()] == said
